@@ -9,8 +9,10 @@ of THRESHOLD or more; classes are the connected components of the links. Steps:
    of any size costs one comparison a node.
 3. What could still be lost is a link between two trees. Buckets with nodes of several trees are cut
    into cells of at most 2 x CELL nodes: every node against every node that isn't in the bucket's
-   largest tree. Only pairs of different trees whose signatures agree leave a cell, and are verified.
-4. Components of the verified links between trees, by repeated contraction.
+   largest tree. TURNS times each tree is verified against the tree whose signatures agree with its
+   most, and linked trees are joined; that joins what a large group of copies is in.
+4. Then all pairs of nodes of different trees whose signatures agree leave the cells, each from the
+   first bucket it shares, and are verified. Components come from repeated contraction.
 
 A pair at similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS, 7e-6 at 0.8 and
 2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 3e-5. Verification is
@@ -38,8 +40,8 @@ from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
 THRESHOLD, LEAST = 0.8, 0.7
 REGISTERS, BANDS, ROWS = 256, 30, 5
-CELL = 256
-CHUNK_DOCS, CHUNK_BYTES = 1000, 4 << 20
+CELL, TURNS = 256, 2
+CHUNK_DOCS, CHUNK_BYTES = 600, 2 << 20
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
@@ -153,10 +155,10 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by cell: pairs of a cell's sides (0: all nodes, 1: the others) that may be linked."""
-    names = ["bucket", "i", "j", "side", "row", "tree", "n", "sig"]
-    rest = pd.DataFrame({c: [] for c in names})
+def _cells(every: bool):
+    """Rows sorted by cell: pairs of a cell's sides (0: all nodes, 1: the others) of different trees that
+    may be linked. every: each of them, in the first bucket that its nodes share; else for each tree of
+    side 1 the pair that agrees most."""
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(rows):
@@ -164,47 +166,77 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         key = rows[["bucket", "i", "j"]].to_numpy()
         cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
         side, row, tree, n = (rows[c].to_numpy() for c in ("side", "row", "tree", "n"))
+        main = rows["main"].to_numpy()
         sig = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(len(rows), -1)
+        buckets = np.stack(rows["buckets"].to_numpy())
         got: list[np.ndarray] = []
         for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(rows))):
             left, right = (np.arange(lo, hi)[side[lo:hi] == s] for s in (0, 1))
             for y in right:
                 x = left[(tree[left] != tree[y]) & (n[left] >= THRESHOLD * n[y]) & (n[y] >= THRESHOLD * n[left])]
-                if len(x):
-                    x = x[agreement(sig[x], sig[y]) >= LEAST]
-                    got.append(np.stack([row[x], np.full(len(x), row[y]), tree[x], np.full(len(x), tree[y])], axis=1))
+                est = agreement(sig[x], sig[y])
+                x, est = x[est >= LEAST], est[est >= LEAST]
+                if not len(x):
+                    continue
+                if every:
+                    shared = buckets[x] == buckets[y]
+                    first = buckets[y][shared.argmax(axis=1)] == key[lo, 0]
+                    # both nodes outside the largest tree: the pair comes in both orders, one is enough
+                    first &= (tree[x] == main[y]) | (row[x] < row[y])
+                    x, est = x[first], est[first]
+                else:
+                    best = np.argmax(est)
+                    x, est = x[best : best + 1], est[best : best + 1]
+                got += [(row[k], row[y], tree[k], tree[y], e) for k, e in zip(x, est)]
         if got:
-            yield pd.DataFrame(np.concatenate(got), columns=["a", "b", "tree_a", "tree_b"])
-
-    for batch in batches:
-        rows = pd.concat([rest, batch], ignore_index=True) if len(rest) else batch.reset_index(drop=True)
-        if not len(rows):
-            continue
-        end = rows[["bucket", "i", "j"]].iloc[-1]
-        open_ = ((rows["bucket"] == end["bucket"]) & (rows["i"] == end["i"]) & (rows["j"] == end["j"])).to_numpy()
-        yield from pairs(rows[~open_])
-        rest = rows[open_]
-    yield from pairs(rest)
-
-
-def between_trees(members: DataFrame, nodes: DataFrame, trees: DataFrame) -> DataFrame:
-    """(a, b, tree_a, tree_b): pairs of nodes in one bucket but different trees that may be linked."""
+            out = pd.DataFrame(got, columns=["a", "b", "tree_a", "tree_b", "est"])
+            yield out if every else out.sort_values("est", ascending=False).drop_duplicates("tree_b")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for batch in batches:
+            rows = batch.reset_index(drop=True) if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            end = rows[["bucket", "i", "j"]].iloc[-1]
+            open_ = ((rows["bucket"] == end["bucket"]) & (rows["i"] == end["i"]) & (rows["j"] == end["j"])).to_numpy()
+            yield from pairs(rows[~open_])
+            rest = rows[open_]
+        if rest is not None:
+            yield from pairs(rest)
+
+    return run
+
+
+def between_trees(members: DataFrame, nodes: DataFrame, trees: DataFrame, every: bool) -> DataFrame:
+    """(a, b, tree_a, tree_b): pairs of nodes in one bucket but different trees that may be linked; all
+    of them, or for each tree the one that agrees most."""
     spark = members.sparkSession
     at = members.join(trees.withColumnRenamed("root", "tree"), "row", "left").select("bucket", "row", F.coalesce("tree", "row").alias("tree"))
     at = stored(at, "near-buckets")
     shares = at.groupBy("bucket", "tree").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "tree")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("trees")).where("trees > 1")
     mixed = stored(mixed.select("bucket", F.col("largest.tree").alias("main"), F.ceil(F.col("all") / CELL).alias("rows"), F.ceil((F.col("all") - F.col("largest.n")) / CELL).alias("cols")), "near-mixed")
-    here = at.join(mixed, "bucket").join(nodes.select("row", "n", "sig"), "row")
+    here = at.join(mixed, "bucket").join(nodes.select("row", "n", "sig", "buckets"), "row")
     here = here.withColumns({"i": F.pmod(F.xxhash64("row"), F.col("rows")), "j": F.pmod(F.xxhash64("row", F.lit(1)), F.greatest(F.col("cols"), F.lit(1)))})
-    keep = ["bucket", "i", "j", "side", "row", "tree", "n", "sig"]
+    keep = ["bucket", "i", "j", "side", "row", "tree", "main", "n", "sig", "buckets"]
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = here.drop("j").withColumn("j", upto("cols")).withColumn("side", F.lit(0)).select(*keep)
     right = here.where("tree <> main").drop("i").withColumn("i", upto("rows")).withColumn("side", F.lit(1)).select(*keep)
     cells = left.union(right).repartition(4 * parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = cells.mapInPandas(_cells, "a long, b long, tree_a long, tree_b long")
-    one = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("tree_a")).otherwise(F.col("tree_b")).alias("tree_a"), F.when(F.col("a") < F.col("b"), F.col("tree_b")).otherwise(F.col("tree_a")).alias("tree_b"))
-    return one.distinct()
+    found = cells.mapInPandas(_cells(every), "a long, b long, tree_a long, tree_b long, est double")
+    if every:
+        return found
+    best = found.groupBy("tree_b").agg(F.max(F.struct("est", "a", "b", "tree_a")).alias("m")).select("m.a", "m.b", "m.tree_a", "tree_b")
+    return best.dropDuplicates(["a", "b"])
+
+
+def merged(trees: DataFrame, links: DataFrame) -> DataFrame:
+    """(row, root) after joining the trees (tree_a, tree_b) of the links."""
+    joined = stored(components(links.select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))), "near-joined")
+    below = trees.join(joined.withColumnRenamed("node", "root"), "root", "left").select("row", F.coalesce("label", "root").alias("root"))
+    roots = joined.select(F.col("node").alias("row"), F.col("label").alias("root")).join(trees.select("row"), "row", "left_anti")
+    return stored(below.union(roots), "near-trees")
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
@@ -217,19 +249,19 @@ def near_classes(docs: DataFrame) -> DataFrame:
     buckets = nodes.select("row", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("p")).where("n > 1")
     members = stored(buckets.join(shared.select("bucket", F.col("p.row").alias("pivot")), "bucket"), "near-members")
-    inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "sig"), "near-nodes")
+    inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "sig", "buckets"), "near-nodes")
     # the pivot that a node shares most buckets with is nearly always the one it is closest to
     stars = members.where("row <> pivot").groupBy("row", "pivot").count().groupBy("row").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("row").alias("a"), F.col("best.pivot").alias("b"))
     side = lambda c: inside.select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
     stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
     trees = stored(rooted(verified(stars, inside, docs)), "near-roots")
-    cross = stored(between_trees(members, inside, trees), "near-cross")
-    links = stored(verified(cross.select("a", "b"), inside, docs), "near-links").join(cross, ["a", "b"])
-    joined = components(links.select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")))
-    label = trees.join(joined.withColumnRenamed("node", "root"), "root", "left").select(F.col("row").alias("node"), F.coalesce("label", "root").alias("label"))
-    roots = joined.select("node", "label").join(trees.select(F.col("row").alias("node")), "node", "left_anti")
-    label = label.union(roots)
+    for every in (*[False] * TURNS, True):
+        cross = stored(between_trees(members, inside, trees, every), "near-cross")
+        links = stored(verified(cross.select("a", "b"), inside, docs).join(cross, ["a", "b"]), "near-links")
+        if not links.isEmpty():
+            trees = merged(trees, links)
+    label = trees.select(F.col("row").alias("node"), F.col("root").alias("label"))
     classes = stored(texts.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label")), "near-classes")
     of = stored(rows.select("key", "row", "doc_id", "content").join(classes, "key").select("row", "doc_id", "content", "label"), "near-rows")
     heads = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count("*").alias("class_size"))
