@@ -11,12 +11,13 @@ processes, and equal elements of different weight share all points below the sma
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
 
 SHINGLE = 5
-GAP = re.compile(r"\W+")
+GAP, ODD = re.compile(r"\W+"), re.compile(r"[^\w\x00-\x7f]")
 U = np.uint64
 BASE = U(0x9E3779B97F4A7C15)
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -37,6 +38,10 @@ _inverse = pow(int(BASE), -1, 1 << 64)
 _powers: list[np.ndarray] = []
 
 
+#: Of each byte, whether it is in no word: of ASCII all but letters, digits and the underscore.
+BETWEEN = np.array([i < 128 and not (chr(i).isalnum() or i == 95) for i in range(256)])
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse modulo 2 ** 64, for i below n."""
     if not _powers or len(_powers[0]) < n:
@@ -44,16 +49,18 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def normal(text: str) -> str:
-    return GAP.sub(" ", text.lower()).strip()
+def lowered(text: str) -> bytes:
+    """Lower case; characters beyond ASCII that are in no word become blanks."""
+    low = text.lower()
+    return (GAP.sub(" ", low) if ODD.search(low) else low).encode()
 
 
 def word_hashes(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of a text whose words stand between single bytes up to 32."""
+    """Hash and first byte of each word of a lowered text."""
     b = np.frombuffer(plain, np.uint8)
     if not len(b):
         return np.empty(0, U), np.empty(0, np.int64)
-    gap = np.concatenate([[True], b <= 32, [True]])
+    gap = np.concatenate([[True], BETWEEN[b], [True]])
     edge = np.flatnonzero(gap[1:] != gap[:-1])
     first, last = edge[::2], edge[1::2]
     up, down = powers(len(b) + 1)
@@ -61,8 +68,8 @@ def word_hashes(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
     return mix((total[last] - total[first]) * down[first] + (last - first).astype(U)), first
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of all (normal) texts, one after the other, and how many each has."""
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Shingle hashes of all texts, one after the other, how many each has, and a key of each's words."""
     hashes, counts = [], np.zeros(len(texts), np.int64)
     held, size, who = [], 0, []
 
@@ -77,7 +84,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             held, size, who = [], 0, []
 
     for k, text in enumerate(texts):
-        raw = text.encode()
+        raw = lowered(text)
         while len(raw) > SEGMENT:  # at a gap, if there is one
             cut = raw.rfind(b" ", 0, SEGMENT)
             cut = cut if cut > 0 else (raw.find(b" ") if b" " in raw else len(raw))
@@ -92,7 +99,7 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             flush()
     flush()
     if not hashes:
-        return np.empty(0, U), counts
+        return np.empty(0, U), counts, [_key(np.empty(0, U))] * len(texts)
     words = np.concatenate([h for _, h in hashes])
     n = np.bincount([k for k, _ in hashes], weights=[len(h) for _, h in hashes], minlength=len(texts)).astype(np.int64)
     out = np.zeros(len(words), U)
@@ -108,7 +115,12 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         with np.errstate(over="ignore"):
             out[at] = (words[at : ends[k]] * ORDER[: n[k]]).sum() + U(n[k])
         keep[at] = True
-    return mix(out[keep]), np.where(short, np.minimum(n, 1), n - SHINGLE + 1)
+    keys = [_key(words[b - c : b]) for b, c in zip(ends, n)]
+    return mix(out[keep]), np.where(short, np.minimum(n, 1), n - SHINGLE + 1), keys
+
+
+def _key(words: np.ndarray) -> bytes:
+    return hashlib.blake2b(words.tobytes(), digest_size=16).digest()
 
 
 def multisets(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -185,4 +197,4 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def multiset(text: str) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(shingles([normal(text)])[0], return_counts=True)
+    return np.unique(shingles([text])[0], return_counts=True)

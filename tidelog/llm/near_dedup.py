@@ -9,13 +9,14 @@ of THRESHOLD or more; classes are the connected components of the links. Steps:
    of any size costs one comparison a node.
 3. What could still be lost is a link between two trees. Buckets with nodes of several trees are cut
    into cells of at most 2 x CELL nodes: every node against every node that isn't in the bucket's
-   largest tree. TURNS times each tree is verified against the tree whose signatures agree with its
-   most, and linked trees are joined; that joins what a large group of copies is in.
+   largest tree. First each tree is verified against the tree whose signatures agree with its most,
+   and linked trees are joined; that joins what a large group of copies is in.
 4. Then all pairs of nodes of different trees whose signatures agree leave the cells, each from the
-   first bucket it shares, and are verified. Components come from repeated contraction.
+   first bucket it shares, and are verified, those that agree most first. Components come from
+   repeated contraction.
 
 A pair at similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS, 7e-6 at 0.8 and
-2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 3e-5. Verification is
+2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 2e-5. Verification is
 exact. No bucket, group or candidate list is capped.
 
 Defined results: null or empty text, or text without a word, is the empty multiset, and all of those
@@ -25,7 +26,6 @@ are one class; repeated rows are rows of one class; class_id is the smallest doc
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,20 +34,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .bagminhash import bands, multiset, normal, shingles, signatures, similarity
+from .bagminhash import bands, multiset, shingles, signatures, similarity
 from .common import parts, ship, stored, text_of
 from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
-THRESHOLD, LEAST = 0.8, 0.7
-REGISTERS, BANDS, ROWS = 256, 30, 5
-CELL, TURNS = 256, 2
-CHUNK_DOCS, CHUNK_BYTES = 600, 2 << 20
+THRESHOLD, LEAST = 0.8, 0.735
+BANDS, ROWS, REGISTERS, GLANCE = 30, 5, 640, 128
+CELL = 256
+#: Signatures that agree so well are verified first; trees that this joins need no further pair.
+STEPS = (1.0, 0.78, LEAST)
+CHUNK_DOCS, CHUNK_BYTES = 800, 3 << 20
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
     held, size, start = [], 0, 0
     for k, x in enumerate(batch.column("text")):
-        held.append(normal(x.as_py()))
+        held.append(x.as_py())
         size += len(held[-1])
         if len(held) >= CHUNK_DOCS or size >= CHUNK_BYTES:
             yield start, k + 1, held
@@ -57,24 +59,40 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
 
 
 def signed(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, content, key, n, sig, buckets): content tells rows of one doc_id apart, key is of the
-    words, n the number of shingles, sig has 8 bits a register."""
-    names = ["doc_id", "row", "content", "key", "n", "sig", "buckets"]
+    """(doc_id, row, content, key, n, buckets): content tells rows of one doc_id apart, key is of the
+    words, n the number of shingles."""
+    names = ["doc_id", "row", "content", "key", "n", "buckets"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start, stop, texts in _chunks(b):
                 own = b.slice(start, stop - start)
-                hashes, counts = shingles(texts)
-                registers = signatures(hashes, counts, REGISTERS)
-                keys = [hashlib.blake2b(x.encode(), digest_size=16).digest() for x in texts]
-                flat = pa.array(bands(registers, BANDS, ROWS).reshape(-1), pa.int64())
+                hashes, counts, keys = shingles(texts)
+                flat = pa.array(bands(signatures(hashes, counts, BANDS * ROWS), BANDS, ROWS).reshape(-1), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)
-                sig = registers.astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("row"), own.column("content"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), pa.array([x.tobytes() for x in sig], pa.binary()), lists], names=names)
+                yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("row"), own.column("content"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists], names=names)
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of(docs)).alias("content"), text_of(docs).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, row long, content long, key binary, n long, sig binary, buckets array<long>")
+    return rows.mapInArrow(run, "doc_id long, row long, content long, key binary, n long, buckets array<long>")
+
+
+def looked_up(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(row, text, sig) of the nodes that share a bucket; sig has 8 bits for each of REGISTERS, far more
+    than the buckets need, so that few pairs below the threshold are verified in vain."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start, stop, texts in _chunks(b):
+                hashes, counts, _ = shingles(texts)
+                sig = signatures(hashes, counts, REGISTERS).astype(np.uint8)
+                own = b.slice(start, stop - start)
+                yield pa.RecordBatch.from_arrays([own.column("row"), own.column("text"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["row", "text", "sig"])
+
+    need = nodes.select("row", F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
+    few = need.count() <= MAX_BROADCAST_IDS
+    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("content", F.xxhash64("text"))
+    found = own.join(F.broadcast(need) if few else need, own["doc_id"].eqNullSafe(need["__id"]) & (own["content"] == need["__content"])).select("row", "text")
+    return found.mapInArrow(run, "row long, text string, sig binary")
 
 
 def agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,21 +123,16 @@ def _verify(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame
     return pd.DataFrame({"a": pd.Series(out, dtype="int64"), "b": pd.Series([key[0]] * len(out), dtype="int64")})
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose texts are linked. Each a's text meets b's, which is dealt out to
     several tasks where many pairs have it."""
-    need = stored(pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct().join(nodes.select("row", "doc_id", "content"), "row"), "near-need")
-    few = need.count() <= MAX_BROADCAST_IDS
-    need = need.withColumnsRenamed({"doc_id": "__id", "content": "__content"})
-    own = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).withColumn("content", F.xxhash64("text"))
-    texts = own.join(F.broadcast(need) if few else need, own["doc_id"].eqNullSafe(need["__id"]) & (own["content"] == need["__content"])).select("row", "text")
-    texts = stored(texts, "near-texts")
+    texts = texts.select("row", "text")
     shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).alias("shares")).withColumnRenamed("b", "__b")
     salted = pairs.join(shares, pairs["b"] == shares["__b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).alias("salt"))
     salted = stored(salted, "near-salted")
-    left = salted.join(texts.withColumnRenamed("row", "a"), "a").dropDuplicates(["a", "b"]).toDF("a", "b", "salt", "text")
+    left = salted.join(texts.withColumnRenamed("row", "a"), "a").toDF("a", "b", "salt", "text")
     cells = salted.select("b", "salt").distinct()
-    right = cells.join(texts.withColumnRenamed("row", "b"), "b").dropDuplicates(["b", "salt"]).toDF("b", "salt", "text")
+    right = cells.join(texts.withColumnRenamed("row", "b"), "b").toDF("b", "salt", "text")
     return left.groupBy("b", "salt").cogroup(right.groupBy("b", "salt")).applyInPandas(_verify, "a long, b long")
 
 
@@ -155,7 +168,7 @@ def components(edges: DataFrame) -> DataFrame:
     return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
-def _cells(every: bool):
+def _cells(least: float, most: float, every: bool):
     """Rows sorted by cell: pairs of a cell's sides (0: all nodes, 1: the others) of different trees that
     may be linked. every: each of them, in the first bucket that its nodes share; else for each tree of
     side 1 the pair that agrees most."""
@@ -174,8 +187,11 @@ def _cells(every: bool):
             left, right = (np.arange(lo, hi)[side[lo:hi] == s] for s in (0, 1))
             for y in right:
                 x = left[(tree[left] != tree[y]) & (n[left] >= THRESHOLD * n[y]) & (n[y] >= THRESHOLD * n[left])]
+                # GLANCE registers tell most pairs apart: those 5 standard deviations below are out
+                x = x[agreement(sig[x, :GLANCE], sig[y, :GLANCE]) >= LEAST - 0.2]
                 est = agreement(sig[x], sig[y])
-                x, est = x[est >= LEAST], est[est >= LEAST]
+                due = (est >= least) & (est < most)
+                x, est = x[due], est[due]
                 if not len(x):
                     continue
                 if every:
@@ -208,7 +224,7 @@ def _cells(every: bool):
     return run
 
 
-def between_trees(members: DataFrame, nodes: DataFrame, trees: DataFrame, every: bool) -> DataFrame:
+def between_trees(members: DataFrame, nodes: DataFrame, texts: DataFrame, trees: DataFrame, least: float, most: float, every: bool) -> DataFrame:
     """(a, b, tree_a, tree_b): pairs of nodes in one bucket but different trees that may be linked; all
     of them, or for each tree the one that agrees most."""
     spark = members.sparkSession
@@ -217,14 +233,14 @@ def between_trees(members: DataFrame, nodes: DataFrame, trees: DataFrame, every:
     shares = at.groupBy("bucket", "tree").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "tree")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("trees")).where("trees > 1")
     mixed = stored(mixed.select("bucket", F.col("largest.tree").alias("main"), F.ceil(F.col("all") / CELL).alias("rows"), F.ceil((F.col("all") - F.col("largest.n")) / CELL).alias("cols")), "near-mixed")
-    here = at.join(mixed, "bucket").join(nodes.select("row", "n", "sig", "buckets"), "row")
+    here = at.join(mixed, "bucket").join(nodes.select("row", "n", "buckets"), "row").join(texts.select("row", "sig"), "row")
     here = here.withColumns({"i": F.pmod(F.xxhash64("row"), F.col("rows")), "j": F.pmod(F.xxhash64("row", F.lit(1)), F.greatest(F.col("cols"), F.lit(1)))})
     keep = ["bucket", "i", "j", "side", "row", "tree", "main", "n", "sig", "buckets"]
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = here.drop("j").withColumn("j", upto("cols")).withColumn("side", F.lit(0)).select(*keep)
     right = here.where("tree <> main").drop("i").withColumn("i", upto("rows")).withColumn("side", F.lit(1)).select(*keep)
     cells = left.union(right).repartition(4 * parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = cells.mapInPandas(_cells(every), "a long, b long, tree_a long, tree_b long, est double")
+    found = cells.mapInPandas(_cells(least, most, every), "a long, b long, tree_a long, tree_b long, est double")
     if every:
         return found
     best = found.groupBy("tree_b").agg(F.max(F.struct("est", "a", "b", "tree_a")).alias("m")).select("m.a", "m.b", "m.tree_a", "tree_b")
@@ -249,16 +265,20 @@ def near_classes(docs: DataFrame) -> DataFrame:
     buckets = nodes.select("row", F.explode("buckets").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("p")).where("n > 1")
     members = stored(buckets.join(shared.select("bucket", F.col("p.row").alias("pivot")), "bucket"), "near-members")
-    inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "sig", "buckets"), "near-nodes")
+    inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "buckets"), "near-nodes")
+    found = looked_up(inside, docs)
+    again = rows.groupBy("doc_id", "content").count().where("count > 1")  # equal rows are looked up once each
+    texts_of = stored(found if again.isEmpty() else found.dropDuplicates(["row"]), "near-texts")
     # the pivot that a node shares most buckets with is nearly always the one it is closest to
     stars = members.where("row <> pivot").groupBy("row", "pivot").count().groupBy("row").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("row").alias("a"), F.col("best.pivot").alias("b"))
-    side = lambda c: inside.select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+    side = lambda c: inside.join(texts_of.select("row", "sig"), "row").select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
     stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
     stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
-    trees = stored(rooted(verified(stars, inside, docs)), "near-roots")
-    for every in (*[False] * TURNS, True):
-        cross = stored(between_trees(members, inside, trees, every), "near-cross")
-        links = stored(verified(cross.select("a", "b"), inside, docs).join(cross, ["a", "b"]), "near-links")
+    trees = stored(rooted(verified(stars, texts_of)), "near-roots")
+    turns = [(LEAST, 2.0, False), *((least, 2.0 if most == 1.0 else most, True) for most, least in zip(STEPS, STEPS[1:]))]
+    for least, most, every in turns:
+        cross = stored(between_trees(members, inside, texts_of, trees, least, most, every), "near-cross")
+        links = stored(verified(cross.select("a", "b"), texts_of).join(cross, ["a", "b"]), "near-links")
         if not links.isEmpty():
             trees = merged(trees, links)
     label = trees.select(F.col("row").alias("node"), F.col("root").alias("label"))
