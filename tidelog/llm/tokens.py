@@ -28,6 +28,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Fixed value: the vocabulary's pattern.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Words:
     """Cuts texts into words; special strings are words of their own."""
 
@@ -56,24 +60,22 @@ class Words:
 
 
 class Ids(Words):
-    """encode(text): the library's ids as bytes, little-endian unsigned 32-bit."""
+    """encode(text): the library's ids as bytes, little-endian unsigned 32-bit. The same vocabulary and
+    pattern in tiktoken give the same ids several times faster; it takes the texts that the fast
+    pattern may take, and the tokenizers library all others."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        self.kept: dict[str, bytes] = {}
+        import tiktoken
+
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in self.model["model"]["vocab"].items() if t not in self.special}
+        self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        words = self.cut(text)
-        try:
-            return b"".join(map(self.kept.__getitem__, words))
-        except KeyError:
-            pass
-        if len(self.kept) > MAX_KEPT:
-            self.kept.clear()
-        new = list({w for w in words if w not in self.kept})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.kept[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.kept.__getitem__, words))
+        if OTHER.search(text) is None and not any(s in text for s in self.special):
+            return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 class Counts(Words):
