@@ -43,7 +43,7 @@ BANDS, ROWS, REGISTERS, GLANCE = 30, 5, 640, 128
 CELL = 256
 #: Signatures that agree so well are verified first; trees that this joins need no further pair.
 STEPS = (1.0, 0.78, LEAST)
-CHUNK_DOCS, CHUNK_BYTES = 800, 3 << 20
+CHUNK_DOCS, CHUNK_BYTES = 400, 3 << 19
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:

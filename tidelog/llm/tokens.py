@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-MAX_KEPT = 500_000
+MAX_KEPT = 400_000
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 SPACES = r"\t-\r \x85\xa0"
 #: The vocabulary's pattern where all characters are below U+0250 and none is a non-ASCII number.

@@ -39,7 +39,7 @@ WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
 MAX_ROWS, MAX_FEATURES, WINDOW, PLAIN_WINDOWS = 2500, 50_000, 64, 3000
 ROUNDS, STEPS, L2 = 2, 40, 1e-3
-CUT, KEPT = 0.3, 1_000_000
+CUT, KEPT = 0.3, 150_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -293,10 +293,9 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast(model)  # MAX_FEATURES weights at most
-    taggers: dict[int, Tagger] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger = taggers.setdefault(0, Tagger(shared.value))
+        tagger = Tagger(shared.value)
         for b in batches:
             scores, found = [], []
             for x in b.column("text"):
@@ -305,6 +304,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 scores.append(tagger.score(summary(n, marginals)))
                 found.append(",".join(f"{s}:{e}" for s, e in spans(text, at, marginals)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array(found, pa.string())], names=["doc_id", "held_out", "score", "spans"])
+        tagger.memo.clear()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, spans string")
@@ -331,5 +331,6 @@ def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
                 n, _, marginals = tagger.read(x.as_py() or "")
                 keep.append(tagger.score(summary(n, marginals)) < cut)
             yield b.filter(pa.array(keep, pa.bool_()))
+        tagger.memo.clear()  # the worker goes on to other stages
 
     return docs.mapInArrow(run, docs.schema)
