@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parents[1]
 _shipped: set[str] = set()
+#: Rows and bytes of an Arrow batch; texts may be long.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,7 +24,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def ship(spark: SparkSession) -> None:
-    """Gives the executors this package (once per application), wherever they run."""
+    """Gives the executors this package (once per application), wherever they run, and bounds what a
+    Python worker holds of their rows at a time, unless the session bounds it already."""
+    for key, most in BATCH.items():
+        if int(spark.conf.get(key, "0") or 0) in (0, 10_000, -1) or int(spark.conf.get(key)) > most:
+            spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -36,6 +42,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def release() -> None:
+    """Gives back what a Python worker has freed; workers live on for other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(trim := ctypes.CDLL(None), "malloc_trim"):
+        trim.malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one is set only where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

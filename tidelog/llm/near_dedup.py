@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, multiset, shingles, signatures, similarity
-from .common import parts, ship, stored, text_of
+from .common import parts, release, ship, stored, text_of
 from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
 THRESHOLD, LEAST = 0.8, 0.735
@@ -71,6 +71,7 @@ def signed(docs: DataFrame) -> DataFrame:
                 flat = pa.array(bands(signatures(hashes, counts, BANDS * ROWS), BANDS, ROWS).reshape(-1), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * BANDS, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("row"), own.column("content"), pa.array(keys, pa.binary()), pa.array(counts, pa.int64()), lists], names=names)
+        release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64(text_of(docs)).alias("content"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id long, row long, content long, key binary, n long, buckets array<long>")
@@ -87,6 +88,7 @@ def looked_up(nodes: DataFrame, docs: DataFrame) -> DataFrame:
                 sig = signatures(hashes, counts, REGISTERS).astype(np.uint8)
                 own = b.slice(start, stop - start)
                 yield pa.RecordBatch.from_arrays([own.column("row"), own.column("text"), pa.array([x.tobytes() for x in sig], pa.binary())], names=["row", "text", "sig"])
+        release()
 
     need = nodes.select("row", F.col("doc_id").alias("__id"), F.col("content").alias("__content"))
     few = need.count() <= MAX_BROADCAST_IDS

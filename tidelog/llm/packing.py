@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts, ship, stored, text_of
+from .common import parts, release, ship, stored, text_of
 from .tokens import Ids, default_path, made
 
 CAPACITY, END_ID = 1024, 2
@@ -49,6 +49,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, e
                     start, k = start + length, k + 1
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types)], names=names)
+        release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
     return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

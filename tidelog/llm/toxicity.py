@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, text_of
+from .common import release, ship, text_of
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
@@ -305,6 +305,7 @@ def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
                 found.append(",".join(f"{s}:{e}" for s, e in spans(text, at, marginals)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array(found, pa.string())], names=["doc_id", "held_out", "score", "spans"])
         tagger.memo.clear()
+        release()
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
     out = rows.mapInArrow(run, "doc_id long, held_out boolean, score double, spans string")
@@ -331,6 +332,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataF
                 n, _, marginals = tagger.read(x.as_py() or "")
                 keep.append(tagger.score(summary(n, marginals)) < cut)
             yield b.filter(pa.array(keep, pa.bool_()))
-        tagger.memo.clear()  # the worker goes on to other stages
+        tagger.memo.clear()
+        release()
 
     return docs.mapInArrow(run, docs.schema)
