@@ -25,9 +25,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def ship(spark: SparkSession) -> None:
     """Gives the executors this package (once per application), wherever they run, and bounds what a
-    Python worker holds of their rows at a time, unless the session bounds it already."""
+    Python worker holds of their rows at a time, unless the session has a lower bound."""
+    as_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
     for key, most in BATCH.items():
-        if int(spark.conf.get(key, "0") or 0) in (0, 10_000, -1) or int(spark.conf.get(key)) > most:
+        if not 0 < as_bytes(spark.conf.get(key)) <= most:
             spark.conf.set(key, str(most))
     app = spark.sparkContext.applicationId
     if app in _shipped:
