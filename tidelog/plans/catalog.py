@@ -59,9 +59,9 @@ def _(spark, sf):
     return reads.live(events_log(spark, sf))
 
 
-@query("kv_get", f"WITH {NEWEST} SELECT k, seq, v FROM live WHERE k = 'user:000003'")
+@query("kv_get", f"WITH {NEWEST} SELECT k, seq, v FROM live WHERE k = 'user:000007'")
 def _(spark, sf):
-    return reads.get(events_log(spark, sf), "user:000003")
+    return reads.get(events_log(spark, sf), "user:000007")
 
 
 @query("kv_multi_get", f"""WITH {NEWEST}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_mktsegment = 'BUILDING')
