@@ -99,3 +99,32 @@ def test_store(spark, tmp_path):
         store.vacuum(last)
     store.unpin(one)
     assert store.vacuum(last) == 2 and state() == {"a": "3", "c": "5"}
+
+
+def test_compaction_rewrites_only_what_overlaps(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Options(level0_files=1, file_bytes=64 * 1024, level0_bytes=64 * 1024))
+    seq = iter(range(1, 100))
+    put = lambda **kv: store.flush(spark.createDataFrame([(next(seq), k, v, "D" if v == "-" else "P", None) for k, v in kv.items()], LOG))
+    files = lambda: {f["file_id"]: (f["level"], f["mn"], f["mx"]) for f in store.load()["files"]}
+    put(a="1", b="2")
+    put(a="3")
+    store.compact()
+    first = files()
+    assert list(first.values()) == [(1, "a", "b")]
+    put(x="4", y="5")
+    put(x="-")
+    store.compact()  # the new file is no neighbour of the first; both then move down as they are
+    second = files()
+    assert sorted(second.values()) == [(2, "a", "b"), (2, "y", "y")] and set(first) < set(second)
+    put(a="6")
+    put(m="7", y="-")  # two level-0 files apart: two groups, so two files
+    store.compact()
+    assert {r["k"]: r["v"] for r in store.scan().collect()} == {"a": "6", "b": "2", "m": "7"}
+    assert all(sum(lo <= k <= hi and level == at for level, lo, hi in files().values()) <= 1 for k in "abmxy" for at in (1, 2))
+
+
+def test_touching():
+    from tidelog.operators.compaction import touching
+
+    files = [{"mn": a, "mx": b} for a, b in (("e", "g"), ("a", "c"), ("c", "d"), ("f", "f"), ("h", "i"))]
+    assert [[f["mn"] + f["mx"] for f in g] for g in touching(files)] == [["ac", "cd"], ["eg", "ff"], ["hi"]]

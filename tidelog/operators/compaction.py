@@ -42,6 +42,19 @@ def plan(manifest: DataFrame, opt: Options) -> DataFrame:
     return jobs.select(F.col("file_id").alias("victim"), F.col("level").alias("start_level"), (F.col("level") + 1).alias("end_level"), F.array_join("inputs", ",").alias("inputs"), ((F.size("inputs") == 0) & (F.col("level") > 0)).alias("trivial"))
 
 
+def touching(files: list[dict]) -> list[list[dict]]:
+    """Manifest rows in groups, in key order: ranges of different groups share no key (ends included)."""
+    out: list[list[dict]] = []
+    end = None
+    for f in sorted(files, key=lambda f: (f["mn"], f["mx"])):
+        if end is None or f["mn"] > end:
+            out.append([])
+            end = f["mx"]
+        out[-1].append(f)
+        end = max(end, f["mx"])
+    return out
+
+
 def merge(rows: DataFrame, bottom: bool) -> DataFrame:
     """Merges files (k, v, seq, newest of the file): the version in the newest file wins, of one file the
     greatest seq. Deletions go only where no deeper level can hold the key."""

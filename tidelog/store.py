@@ -59,11 +59,12 @@ class Store:
 
     # writes
 
-    def _write(self, rows: DataFrame, level: int, n: int) -> list[dict]:
-        """Sorted files with disjoint ranges in a new folder; one manifest row each, read back from the files."""
+    def _write(self, rows: DataFrame, level: int, n: int, by: tuple[str, ...] = ()) -> list[dict]:
+        """Sorted files with disjoint ranges in a new folder, none with rows of two values of `by`; one
+        manifest row each, read back from the files."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        cut = rows.select("k", "seq", "v", "ts").repartitionByRange(n, "k").sortWithinPartitions("k")
-        cut.write.option("compression", "zstd").option("parquet.bloom.filter.enabled#k", "true").parquet(folder)
+        cut = rows.select("k", "seq", "v", "ts", *by).repartitionByRange(n, "k").sortWithinPartitions(*by, "k")
+        cut.write.partitionBy(*by).option("compression", "zstd").option("parquet.bloom.filter.enabled#k", "true").parquet(folder)
         back = self.spark.read.schema("k string, seq long, v string, ts timestamp").parquet(folder)
         z = F.octet_length("k") + F.octet_length("v") + 4
         meta = back.groupBy(F.input_file_name().alias("file_id")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum(z).alias("bytes"), F.max("seq").alias("newest"))
@@ -82,7 +83,9 @@ class Store:
         return self.publish(now["files"] + files, last[0], now["version"])
 
     def compact(self) -> int:
-        """Moves due levels down until none is due; each round is one version."""
+        """Moves due levels down until none is due; each round is one version. Only files of the next level
+        that a due file overlaps are merged with it. A file below level 0 that overlaps none is moved in
+        the manifest; files that no due file touches stay as they are."""
         while True:
             now = self.load()
             manifest = self.manifest(now)
@@ -90,14 +93,24 @@ class Store:
             if not due:
                 return now["version"]
             level = min(due)
-            inputs = [f for f in now["files"] if f["level"] in (level, level + 1)]
             rest = [f for f in now["files"] if f["level"] not in (level, level + 1)]
             deeper = any(f["level"] > level + 1 for f in rest)
-            rows = self._read(inputs)
-            out = rows.groupBy("k").agg(F.max(F.struct("seq", "v", "ts")).alias("n")).select("k", "n.*")
-            out = out if deeper else out.where(F.col("v") != TOMBSTONE)
-            n = max(1, -(-sum(f["bytes"] for f in inputs) // self.options.file_bytes))
-            self.publish(rest + self._write(out, level + 1, n), now["seq"], now["version"])
+            inputs, groups = [], []
+            for number, files in enumerate(compaction.touching([f for f in now["files"] if f["level"] in (level, level + 1)])):
+                if all(f["level"] > level for f in files) or (level and len(files) == 1):
+                    rest += [f | {"level": level + 1} for f in files]
+                else:
+                    inputs += files
+                    groups += [(f["file_id"], number) for f in files]
+            written = []
+            if inputs:
+                of = self.spark.createDataFrame(groups, "file string, part int")
+                rows = self._read(inputs).withColumn("file", F.input_file_name()).join(of, "file")
+                out = rows.groupBy("k").agg(F.max(F.struct("seq", "v", "ts")).alias("n"), F.min("part").alias("part")).select("k", "n.*", "part")
+                out = out if deeper else out.where(F.col("v") != TOMBSTONE)
+                n = max(1, -(-sum(f["bytes"] for f in inputs) // self.options.file_bytes))
+                written = self._write(out, level + 1, n, ("part",))
+            self.publish(rest + written, now["seq"], now["version"])
 
     # reads
 
