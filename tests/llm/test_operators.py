@@ -139,6 +139,18 @@ def test_html_and_license():
     assert [(x[0], x[1], x[2]) for x in found] == [(4, 34, "MIT-line")]
 
 
+def test_html_head_and_body():
+    article = "<article><h1>T</h1><p>one two</p></article>"
+    for page in (
+        f"<html><head><title>t</title><body>{article}</body></html>", f'<html><head></head><body class="comments-open">{article}</body>', f"<title>t</title><meta charset=utf-8>{article}",
+        f"<html><head><title>t</title><link rel=x>{article}", f'<body class="sidebar">{article}', f'<html class="comment" hidden><body aria-hidden="true">{article}</html>', f"<head><noscript><style>a</style><body>{article}",
+        f"<html><body></body></html>{article}", f"\ufeff<!DOCTYPE html><html><head><title>t</title></head><body><head>{article}",
+    ):
+        assert html_extract.main_text(page) == "T one two", page
+    assert html_extract.main_text("<head><title>t</title>bare text") == "bare text"
+    assert html_extract.main_text("<html><head><title>t</title></head></html>") == ""
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(300)] + [(40, None), (7, [1.0, None]), (60, [float("nan")] * 24)]

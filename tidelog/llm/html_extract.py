@@ -40,6 +40,8 @@ CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "t
 SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 ENDS_P = BLOCK - frozenset("br body html li dt dd td th tr tbody thead tfoot caption option optgroup button legend summary".split()) | {"li", "dt", "dd"}
 
+#: What a head may hold; any other tag, or text, ends an open head and opens the body.
+HEAD = frozenset("base basefont bgsound link meta title script style noscript template".split())
 DROPPED = frozenset("head script style noscript template nav footer aside form button input select textarea iframe object embed svg canvas audio video dialog menu noembed noframes xmp title".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 #: Words of a class or id that mark what isn't the article.
@@ -59,12 +61,16 @@ class Node:
 
     def __init__(self, tag: str, parent: Node | None, noise: bool = False):
         self.tag, self.parent, self.parts, self.noise, self.main = tag, parent, [], noise, tag in ("article", "main")
+        self.chars = self.link_chars = self.tags = self.link_tags = 0
+        self.density = self.total = 0.0
 
 
 def _noise(tag: str, attributes: str, in_article: bool) -> bool:
+    if tag in ("html", "body"):
+        return False
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
-    if tag in ("html", "body", "article", "main") and "comment" not in attributes.lower():
+    if tag in ("article", "main") and "comment" not in attributes.lower():
         return False
     for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), "".join(values)
@@ -77,12 +83,26 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
 
 def parse(page: str) -> Node:
     root = Node("#root", None)
-    at, pos, end = root, 0, len(page)
+    at, pos, end = root, len(page) - len(page.lstrip("\ufeff")), len(page)
     articles = 0
+    top = {"#root": root}  # and html, head and body, of which there is one each
+
+    def content(at: Node) -> Node:
+        """Where text and tags that a head can't hold go: the body, opened if at is outside of it."""
+        if at.tag not in ("#root", "html", "head"):
+            return at
+        if "body" not in top:
+            held = top.get("html", root)
+            top["body"] = Node("body", held)
+            held.parts.append(top["body"])
+        return top["body"]
+
     while pos < end:
         m = TOKEN.search(page, pos)
         start = m.start() if m else end
         if start > pos:
+            if not page[pos:start].isspace():
+                at = content(at)
             at.parts.append(page[pos:start])
         if not m:
             break
@@ -90,10 +110,13 @@ def parse(page: str) -> Node:
         tag = m[2]
         if tag is None:
             if m[0].startswith("<![CDATA["):
+                at = content(at)
                 at.parts.append(m[0][9:].removesuffix("]]>"))
             continue
         tag = tag.lower()
         if m[1]:
+            if tag in ("html", "body"):  # what follows them goes where it would have gone before
+                continue
             up = at
             while up.parent is not None and up.tag != tag:
                 if up.tag in ("article", "td", "table") and tag not in BLOCK:
@@ -108,6 +131,14 @@ def parse(page: str) -> Node:
             elif tag == "p":
                 at.parts.append(Node("br", at))
             continue
+        if tag in ("html", "head", "body"):
+            if tag not in top and "body" not in top and (tag == "body" or at.tag in ("#root", "html")):
+                held = top.get("html", root)
+                at = top[tag] = Node(tag, held, _noise(tag, m[3], False))
+                held.parts.append(at)
+            continue
+        if tag not in HEAD:
+            at = content(at)
         if tag in ENDS_P:
             up = at
             while up.parent is not None and up.tag != "p" and (up.tag not in BLOCK):
