@@ -151,6 +151,21 @@ def test_html_head_and_body():
     assert html_extract.main_text("<html><head><title>t</title></head></html>") == ""
 
 
+def licenses(text):
+    return [(text[x[0] : x[1]], x[2]) for x in license_scan.Scanner().scan(text)]
+
+
+def test_license_all_rights_reserved():
+    for notice in (
+        "All rights reserved", "Copyright (c) 2011-2020 The Regents of the University of California. All rights reserved",
+        "Copyright 1998, 2001 Free Software Foundation, Inc., J. Doe, The Long Name of Some Other Institute and its many\ncontributors. All rights reserved", "© 2020 Foo Bar Ltd. All rights reserved", "(C) 2020 Foo. All rights reserved",
+    ):
+        (text, name), = licenses(f"Some words.\n{notice}.\nMore words.")
+        assert name == "All-rights-reserved" and notice.endswith(text) and len(text) >= len(notice) - 1
+    assert licenses("Copyright law is old. The courts know it. All rights reserved.") == [("All rights reserved", "All-rights-reserved")]
+    assert licenses("Not all of the rights are reserved.") == []
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(300)] + [(40, None), (7, [1.0, None]), (60, [float("nan")] * 24)]

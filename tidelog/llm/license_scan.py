@@ -4,7 +4,8 @@ A line with a word that licences use starts a candidate block: it and the lines
 length of the longest template. The block is compressed once plainly and once with each template as
 raw zstandard dictionary, both cut to the template's length; the saving ranks the templates. The
 best are confirmed by wording: the block must hold the template's words in order, up to a share of
-differences, which are reported. Versions, years and names are slots of a template, not wording.
+differences, which are reported. Versions, years and names are slots of a template, not wording; the
+holder of a copyright is a slot that takes whole names, up to the end of the sentence.
 
 Defined results: null or empty text has no finding; a document has a row for each finding, repeated
 rows each; of overlapping findings the one with the larger saving stays, of equal ones the one that
@@ -27,7 +28,8 @@ from .common import ship, text_of
 ANCHOR = r"(?i)licen[cs]|copyright|\(c\)|©|spdx|permission|redistribut|warrant|public domain|all rights reserved|creative commons|\bcc[ -](?:by|0)"
 ANCHOR_PY = re.compile(ANCHOR)
 
-#: Public wordings of licence notices. {} is a slot for a version, year or name.
+#: Public wordings of licence notices. {} is a slot for a version, year or name,
+#: {holder} one for the years and names of a copyright's holders, of any number of words.
 TEMPLATES = (
     ("MIT-line", "Released under the MIT License."),
     ("Apache-line", "Licensed under the Apache License, Version {}."),
@@ -46,7 +48,10 @@ TEMPLATES = (
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial {} International License."),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Public-domain", "This is free and unencumbered software released into the public domain."),
-    ("All-rights-reserved", "Copyright {}. All rights reserved."),
+    ("All-rights-reserved", "Copyright {holder}. All rights reserved."),
+    ("All-rights-reserved", "(c) {holder}. All rights reserved."),
+    ("All-rights-reserved", "© {holder}. All rights reserved."),
+    ("All-rights-reserved", "All rights reserved."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.'),
     ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
@@ -57,7 +62,12 @@ TEMPLATES = (
     ("MPL", "This Source Code Form is subject to the terms of the Mozilla Public License, v. {}. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
 )
 
-WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+WORD = re.compile(r"©|[^\W_]+(?:\.[0-9]+)*")
+SLOT = re.compile(r"\{\}|\{holder\}")
+#: Room for a holder in a block, and what ends a sentence: an empty line, or a full stop before a
+#: capital, unless it follows a number, an initial or one of these words.
+HOLDER = 400
+ABBREVIATED = frozenset("inc ltd co corp llc plc bros jr sr dr mr mrs ms prof st al etc dept univ assn no vs".split())
 #: Least share of a template's words found, most words between them per template word, winners tried.
 FOUND, EXTRA, TRIED, LEVEL = 0.9, 0.15, 4, 3
 KEPT = 20_000
@@ -69,17 +79,28 @@ def lowered(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x) == 1 else c for c in text for x in [c.lower()])
 
 
+def ends_sentence(text: str, a: re.Match, b: re.Match) -> bool:
+    """Whether a sentence ends between the neighbouring words a and b."""
+    gap = text[a.end() : b.start()]
+    if re.search(r"\n\s*\n", gap):
+        return True
+    word = a[0].lower()
+    return bool(re.search(r"[.!?]\W*\s", gap)) and text[b.start()].isupper() and not (word in ABBREVIATED or len(word) == 1 or word[0].isdigit())
+
+
 class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         import zstandard as z
 
         self.names, self.words, self.plain, self.size = [], [], z.ZstdCompressor(level=LEVEL), []
-        self.primed = []
+        self.primed, self.holder = [], []
         for name, text in templates:
             self.names.append(name)
-            self.words.append([w for part in text.lower().split("{}") for w in (*WORD.findall(part), None)][:-1])
-            self.size.append(len(text) + 40)
-            held = z.ZstdCompressionDict(text.lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
+            self.words.append([w for part in SLOT.split(text.lower()) for w in (*WORD.findall(part), None)][:-1])
+            head, slot, _ = text.partition("{holder}")
+            self.holder.append(len(WORD.findall(head)) if slot else None)
+            self.size.append(len(text) + 40 + HOLDER * bool(slot))
+            held = z.ZstdCompressionDict(SLOT.sub("{}", text).lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.primed.append(z.ZstdCompressor(level=LEVEL, dict_data=held))
         self.longest = max(self.size)
         self.seen: dict[str, tuple | None] = {}
@@ -97,7 +118,13 @@ class Scanner:
             last += last + 1 < len(have) and have[last + 1][0].isdigit()
         taken = {j for _, j in pairs}
         added = [have[j] for j in range(first, last + 1) if j not in taken]
-        if len(added) > slots * 4 + EXTRA * len(want):
+        free = 0
+        if (h := self.holder[k]) is not None:
+            before, after = max((j for i, j in pairs if i < h), default=first), min((j for i, j in pairs if i >= h), default=last)
+            if any(ends_sentence(block, at[j - 1], at[j]) for j in range(before + 1, after)):
+                return None
+            free = after - before - 1
+        if len(added) - free > slots * 4 + EXTRA * len(want):
             return None
         return at[first].start(), at[last].end(), [w for i, w in enumerate(want) if i not in met], added, len(pairs)
 
