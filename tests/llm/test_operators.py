@@ -166,6 +166,15 @@ def test_license_all_rights_reserved():
     assert licenses("Not all of the rights are reserved.") == []
 
 
+def test_license_dual():
+    mit, apache, gpl = "Released under the MIT License", "Licensed under the Apache License, Version 2.0", "This work is licensed under the GNU General Public License, version 3"
+    assert licenses(f"{mit}. {apache}.") == [(mit, "MIT-line"), (apache, "Apache-line")]
+    for name in ("General Public", "Affero General Public", "Lesser General Public"):
+        notice = gpl.replace("General Public", name)
+        assert [x[0] for x in licenses(f"Licensed under CC BY 4.0.\n{notice}.")] == ["Licensed under CC BY 4.0", notice]
+    assert [x[1] for x in licenses(f"{apache}. {mit}.\nLicensed under CC BY 4.0.\n{gpl}. All rights reserved.")] == ["Apache-line", "MIT-line", "CC-BY-line", "GPL-line", "All-rights-reserved"]
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(300)] + [(40, None), (7, [1.0, None]), (60, [float("nan")] * 24)]

@@ -2,14 +2,15 @@
 
 A line with a word that licences use starts a candidate block: it and the lines after it, up to the
 length of the longest template. The block is compressed once plainly and once with each template as
-raw zstandard dictionary, both cut to the template's length; the saving ranks the templates. The
-best are confirmed by wording: the block must hold the template's words in order, up to a share of
+raw zstandard dictionary, both cut to the template's length; those
+with a saving are confirmed by wording: the block must hold the template's words in order, up to a share of
 differences, which are reported. Versions, years and names are slots of a template, not wording; the
 holder of a copyright is a slot that takes whole names, up to the end of the sentence.
 
 Defined results: null or empty text has no finding; a document has a row for each finding, repeated
-rows each; of overlapping findings the one with the larger saving stays, of equal ones the one that
-matches more words, then the earlier template; an empty table gives an empty result; other columns
+rows each; a block gives all its confirmed templates; of overlapping findings the one that matches more
+words, less those it misses, stays, of equal ones the one with the larger saving (savings of texts of
+different length don't compare), then the earlier start and template; an empty table gives an empty result; other columns
 are not read. Offsets are code points, end exclusive.
 """
 
@@ -68,8 +69,8 @@ SLOT = re.compile(r"\{\}|\{holder\}")
 #: capital, unless it follows a number, an initial or one of these words.
 HOLDER = 400
 ABBREVIATED = frozenset("inc ltd co corp llc plc bros jr sr dr mr mrs ms prof st al etc dept univ assn no vs".split())
-#: Least share of a template's words found, most words between them per template word, winners tried.
-FOUND, EXTRA, TRIED, LEVEL = 0.9, 0.15, 4, 3
+#: Least share of a template's words found, most words between them per template word.
+FOUND, EXTRA, LEVEL = 0.9, 0.15, 3
 KEPT = 20_000
 
 
@@ -103,7 +104,7 @@ class Scanner:
             held = z.ZstdCompressionDict(SLOT.sub("{}", text).lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.primed.append(z.ZstdCompressor(level=LEVEL, dict_data=held))
         self.longest = max(self.size)
-        self.seen: dict[str, tuple | None] = {}
+        self.seen: dict[str, list[tuple]] = {}
 
     def differences(self, k: int, block: str) -> tuple[int, int, list[str], list[str], int] | None:
         """(start, end, missing, added, found) of the template's wording in block, if it is there."""
@@ -128,23 +129,17 @@ class Scanner:
             return None
         return at[first].start(), at[last].end(), [w for i, w in enumerate(want) if i not in met], added, len(pairs)
 
-    def best(self, block: str) -> tuple | None:
-        """(name, saving, start, end, missing, added) of the block's confirmed winner."""
+    def confirmed(self, block: str) -> list[tuple]:
+        """(start, end, name, saving, missing, added, words found) of the block's templates that are confirmed."""
         if block in self.seen:
             return self.seen[block]
         low = block.lower()
-        savings = []
+        out = []
         for k, size in enumerate(self.size):
             cut = low[:size].encode()
             saved = len(self.plain.compress(cut)) - len(self.primed[k].compress(cut))
-            if saved > 0:
-                savings.append((-saved, k))
-        out = None
-        for saved, k in sorted(savings)[:TRIED]:
-            d = self.differences(k, block[: self.size[k]])
-            # of templates that are confirmed, the largest saving; a longer one that holds it saves more
-            if d and (out is None or (-saved, d[4]) > (out[1], out[6])):
-                out = (self.names[k], -saved, d[0], d[1], d[2], d[3], d[4])
+            if saved > 0 and (d := self.differences(k, block[:size])):
+                out.append((d[0], d[1], self.names[k], saved, d[2], d[3], d[4]))
         if len(self.seen) >= KEPT:
             self.seen.clear()
         self.seen[block] = out
@@ -160,15 +155,11 @@ class Scanner:
             while done < stop and (m := ANCHOR_PY.search(text, done, stop)):
                 # the sentence that the anchor is in, for lines may be long
                 begin = max(line, text.rfind(". ", line, m.start()) + 2 if text.rfind(". ", line, m.start()) >= 0 else line)
-                got = self.best(text[begin : begin + self.longest])
-                if got and begin + got[3] > m.start():
-                    found.append((begin + got[2], begin + got[3], got[0], got[1], got[4], got[5], got[6]))
-                    done = max(m.end(), begin + got[3])
-                else:
-                    done = m.end()
+                found += [(begin + x[0], begin + x[1], *x[2:]) for x in self.confirmed(text[begin : begin + self.longest])]
+                done = m.end()
             line = stop + 1
         out: list[tuple] = []
-        for x in sorted(found, key=lambda x: (-x[3], -x[6], x[0])):
+        for x in sorted(found, key=lambda x: (len(x[4]) - x[6], -x[3], x[0])):
             if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
                 out.append(x)
         return sorted(x[:6] for x in out)
