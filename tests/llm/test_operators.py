@@ -175,6 +175,25 @@ def test_license_dual():
     assert [x[1] for x in licenses(f"{apache}. {mit}.\nLicensed under CC BY 4.0.\n{gpl}. All rights reserved.")] == ["Apache-line", "MIT-line", "CC-BY-line", "GPL-line", "All-rights-reserved"]
 
 
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at http://mozilla.org/MPL/2.0"""
+CC0 = """To the extent possible under law, the author has
+waived all copyright and related or neighboring rights to this work"""
+
+
+def test_license_wrapped(spark):
+    assert licenses(f"x\n\n{MPL}.\ny") == [(MPL, "MPL")] and licenses(f"a b\n{CC0}.") == [(CC0, "CC0")]
+    commented = "/* " + MPL.replace("\n", "\n * ")
+    assert licenses(f"{commented}. */") == [(commented[3:], "MPL")]
+    lead = "Unless a file in this folder or in one of the folders below it says otherwise, everything is "
+    assert [x[1] for x in licenses(f"{lead}Released under the MIT License.")] == ["MIT-line"]
+    notice = "This is free and unencumbered software released into the public\ndomain"
+    assert [(r["license"], r["exact"]) for r in license_scan.scan_licenses(docs(spark, [(1, f"{notice}.", "s"), (2, "All\nrights reserved.", "s")])).orderBy("doc_id").collect()] == [("Public-domain", True), ("All-rights-reserved", True)]
+    # repeated notices, one of them without its first word, and notices after each other
+    assert [x[1] for x in licenses(f"{MPL}.\n{MPL[5:]}.\n{MPL}.\nAll rights reserved. All rights reserved.")] == ["MPL"] * 3 + ["All-rights-reserved"] * 2
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(300)] + [(40, None), (7, [1.0, None]), (60, [float("nan")] * 24)]

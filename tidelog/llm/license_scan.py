@@ -1,33 +1,36 @@
 """Operator 3: licence scan by conditional compression.
 
-A line with a word that licences use starts a candidate block: it and the lines after it, up to the
-length of the longest template. The block is compressed once plainly and once with each template as
-raw zstandard dictionary, both cut to the template's length; those
-with a saving are confirmed by wording: the block must hold the template's words in order, up to a share of
-differences, which are reported. Versions, years and names are slots of a template, not wording; the
-holder of a copyright is a slot that takes whole names, up to the end of the sentence.
+Documents with a word that licences use are scanned. A block starts wherever enough of a template's
+words lie close together, however the lines are wrapped and whatever stands before; the template's
+words are aligned to it, in order, up to a share of differences, which are reported. The block, from
+the first word found, is compressed once plainly and once with the template as raw zstandard
+dictionary, both cut to the template's length; without a saving there is no finding. Versions, years
+and names are slots of a template, not wording; the holder of a copyright is a slot that takes whole
+names, up to the end of the sentence.
 
 Defined results: null or empty text has no finding; a document has a row for each finding, repeated
-rows each; a block gives all its confirmed templates; of overlapping findings the one that matches more
-words, less those it misses, stays, of equal ones the one with the larger saving (savings of texts of
-different length don't compare), then the earlier start and template; an empty table gives an empty result; other columns
-are not read. Offsets are code points, end exclusive.
+rows each; of overlapping findings the one that matches more words, less those it misses, stays, of
+equal ones the one with the larger saving (savings of texts of different length don't compare), then
+the earlier start and template; an empty table gives an empty result; other columns are not read.
+Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
 
-import difflib
+import bisect
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship, text_of
 
-ANCHOR = r"(?i)licen[cs]|copyright|\(c\)|©|spdx|permission|redistribut|warrant|public domain|all rights reserved|creative commons|\bcc[ -](?:by|0)"
-ANCHOR_PY = re.compile(ANCHOR)
+ANCHOR = r"(?i)licen[cs]|copyright|\(c\)|©|spdx|permission|redistribut|warrant|public\W+domain|all\W+rights\W+reserved|creative\W+commons|\bcc\W*(?:by|0)"
 
 #: Public wordings of licence notices. {} is a slot for a version, year or name,
 #: {holder} one for the years and names of a copyright's holders, of any number of words.
@@ -65,13 +68,13 @@ TEMPLATES = (
 
 WORD = re.compile(r"©|[^\W_]+(?:\.[0-9]+)*")
 SLOT = re.compile(r"\{\}|\{holder\}")
-#: Room for a holder in a block, and what ends a sentence: an empty line, or a full stop before a
-#: capital, unless it follows a number, an initial or one of these words.
-HOLDER = 400
+#: A line's end, with the marks of a comment that may begin the next one.
+WRAP = re.compile(r"\s*\n[\s*#/;%!-]*")
+#: An empty line ends a sentence, or a full stop before a capital, unless it follows a number, an
+#: initial or one of these words.
 ABBREVIATED = frozenset("inc ltd co corp llc plc bros jr sr dr mr mrs ms prof st al etc dept univ assn no vs".split())
 #: Least share of a template's words found, most words between them per template word.
 FOUND, EXTRA, LEVEL = 0.9, 0.15, 3
-KEPT = 20_000
 
 
 def lowered(text: str) -> str:
@@ -93,76 +96,127 @@ class Scanner:
     def __init__(self, templates: tuple[tuple[str, str], ...] = TEMPLATES):
         import zstandard as z
 
-        self.names, self.words, self.plain, self.size = [], [], z.ZstdCompressor(level=LEVEL), []
-        self.primed, self.holder = [], []
+        self.names, self.want, self.size, self.holder, self.slot_last = [], [], [], [], []
+        self.need, self.extra, self.plain, self.primed = [], [], z.ZstdCompressor(level=LEVEL), []
         for name, text in templates:
-            self.names.append(name)
-            self.words.append([w for part in SLOT.split(text.lower()) for w in (*WORD.findall(part), None)][:-1])
+            words = [w for part in SLOT.split(text.lower()) for w in (*WORD.findall(part), None)][:-1]
+            want = [w for w in words if w]
             head, slot, _ = text.partition("{holder}")
+            self.names.append(name)
+            self.want.append(want)
+            self.size.append(len(text) + 40)
             self.holder.append(len(WORD.findall(head)) if slot else None)
-            self.size.append(len(text) + 40 + HOLDER * bool(slot))
+            self.slot_last.append(words[-1] is None)
+            self.need.append(math.ceil(FOUND * len(want)))
+            self.extra.append(int((words.count(None) - bool(slot)) * 4 + EXTRA * len(want)))
             held = z.ZstdCompressionDict(SLOT.sub("{}", text).lower().encode(), dict_type=z.DICT_TYPE_RAWCONTENT)
             self.primed.append(z.ZstdCompressor(level=LEVEL, dict_data=held))
-        self.longest = max(self.size)
-        self.seen: dict[str, list[tuple]] = {}
-
-    def differences(self, k: int, block: str) -> tuple[int, int, list[str], list[str], int] | None:
-        """(start, end, missing, added, found) of the template's wording in block, if it is there."""
-        at = list(WORD.finditer(lowered(block)))
-        have, want = [m[0] for m in at], [w for w in self.words[k] if w]
-        slots = self.words[k].count(None)
-        pairs = [(i, j) for i, j, n in difflib.SequenceMatcher(None, want, have, autojunk=False).get_matching_blocks() for i, j in zip(range(i, i + n), range(j, j + n))]
-        if len(pairs) < FOUND * len(want) or not pairs:
-            return None
-        met, first, last = {i for i, _ in pairs}, pairs[0][1], pairs[-1][1]
-        if self.words[k][-1] is None:  # a last slot takes the next word if that is a number
-            last += last + 1 < len(have) and have[last + 1][0].isdigit()
-        taken = {j for _, j in pairs}
-        added = [have[j] for j in range(first, last + 1) if j not in taken]
-        free = 0
-        if (h := self.holder[k]) is not None:
-            before, after = max((j for i, j in pairs if i < h), default=first), min((j for i, j in pairs if i >= h), default=last)
-            if any(ends_sentence(block, at[j - 1], at[j]) for j in range(before + 1, after)):
-                return None
-            free = after - before - 1
-        if len(added) - free > slots * 4 + EXTRA * len(want):
-            return None
-        return at[first].start(), at[last].end(), [w for i, w in enumerate(want) if i not in met], added, len(pairs)
-
-    def confirmed(self, block: str) -> list[tuple]:
-        """(start, end, name, saving, missing, added, words found) of the block's templates that are confirmed."""
-        if block in self.seen:
-            return self.seen[block]
-        low = block.lower()
-        out = []
-        for k, size in enumerate(self.size):
-            cut = low[:size].encode()
-            saved = len(self.plain.compress(cut)) - len(self.primed[k].compress(cut))
-            if saved > 0 and (d := self.differences(k, block[:size])):
-                out.append((d[0], d[1], self.names[k], saved, d[2], d[3], d[4]))
-        if len(self.seen) >= KEPT:
-            self.seen.clear()
-        self.seen[block] = out
-        return out
+        self.count = [Counter(w) for w in self.want]
+        self.known = {w: i for i, w in enumerate(dict.fromkeys(w for x in self.want for w in x), 1)}
+        #: Which templates have a word; row 0 is for all other words.
+        self.has = np.array([[False] * len(self.want), *([w in c for c in self.count] for w in self.known)])
+
+    def areas(self, have: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(template, start, end) of the runs of words that hold enough of a template's words."""
+        seen = np.array([self.known.get(w, 0) for w in have])
+        n, upto = len(have), np.zeros((len(have) + 1, len(self.want)), np.int32)
+        np.cumsum(self.has[seen], 0, out=upto[1:])
+        for k in np.flatnonzero(upto[-1] >= self.need):
+            if self.holder[k] is not None:
+                runs = [(0, n)]
+            else:
+                width = min(n, len(self.want[k]) + self.extra[k])
+                starts = np.flatnonzero(upto[width:, k] - upto[: n + 1 - width, k] >= self.need[k])
+                cuts = np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1) if len(starts) else []
+                runs = [(int(c[0]), int(c[-1]) + width) for c in cuts]
+            for lo, hi in runs:
+                if (Counter(have[lo:hi]) & self.count[k]).total() >= self.need[k]:
+                    yield int(k), lo, hi
+
+    def aligned(self, k: int, text: str, at: list[re.Match], have: list[str], lo: int, hi: int) -> tuple[list[tuple], set[tuple[int, int]]]:
+        """The places of template k in have[lo:hi], and the gaps between them to look at again:
+        (first, last, missing, added, words found) and (start, end).
+
+        A word found counts 2, one missed -2, one added -1, or nothing where the holder's slot is."""
+        want, h, n = self.want[k], self.holder[k], hi - lo
+        m = len(want)
+        # a holder doesn't run over the end of a sentence or of an earlier notice
+        stop = [j > 0 and (ends_sentence(text, at[lo + j - 1], at[lo + j]) or have[max(lo, lo + j - m + h) : lo + j] == want[h:]) for j in range(n)] if h is not None else []
+        never = -4 * m
+        rows = [[0] * (n + 1)]
+        for i, w in enumerate(want, 1):
+            above, row = rows[-1], [-2 * i]
+            for j in range(1, n + 1):
+                score = above[j] - 2
+                x = never if i == m else (never if stop[j - 1] else row[-1]) if i == h else row[-1] - 1
+                if x > score:
+                    score = x
+                if have[lo + j - 1] == w and above[j - 1] + 2 > score:
+                    score = above[j - 1] + 2
+                row.append(score)
+            rows.append(row)
+        least = 2 * self.need[k] - 2 * (m - self.need[k]) - self.extra[k]
+        out: list[tuple] = []
+        used, tried = bytearray(n), []
+        for end in sorted((j for j in range(1, n + 1) if rows[m][j] >= least), key=lambda j: (-rows[m][j], j)):
+            i, j, pairs, free = m, end, [], 0
+            while i:
+                score = rows[i][j]
+                into = i == h and j and not stop[j - 1] and score == rows[i][j - 1]
+                if not into and j and have[lo + j - 1] == want[i - 1] and score == rows[i - 1][j - 1] + 2:
+                    i, j = i - 1, j - 1
+                    pairs.append((i, j))
+                elif into or j and i < m and i != h and score == rows[i][j - 1] - 1:
+                    j, free = j - 1, free + into
+                else:
+                    i -= 1
+            if not pairs or pairs[0][1] != end - 1:
+                continue
+            first, last = pairs[-1][1], end - 1
+            taken, met = {j for _, j in pairs}, {i for i, _ in pairs}
+            if len(pairs) < self.need[k] or last + 1 - first - len(pairs) - free > self.extra[k]:
+                continue
+            if any(used[first : last + 1]):
+                tried.append(last)
+                continue
+            used[first : last + 1] = b"\1" * (last + 1 - first)
+            # a last slot takes the next word if that is a number
+            more = self.slot_last[k] and lo + last + 1 < len(have) and have[lo + last + 1][0].isdigit()
+            added = [have[lo + j] for j in range(first, last + 1 + more) if j not in taken]
+            out.append((lo + first, lo + last + more, [w for i, w in enumerate(want) if i not in met], added, len(pairs)))
+        # between two places there may be one that was aligned across a neighbour's words
+        gaps = set()
+        for last in tried:
+            if not used[last]:
+                a, b = used.rfind(1, 0, last) + 1, used.find(1, last)
+                b = b if b >= 0 else n
+                if b - a >= self.need[k]:
+                    gaps.add((lo + a, lo + b))
+        return out, gaps
+
+    def saving(self, k: int, text: str, start: int, end: int) -> int:
+        cut = WRAP.sub(" ", text[start : max(end, start + self.size[k])]).lower().encode()
+        return len(self.plain.compress(cut)) - len(self.primed[k].compress(cut))
 
     def scan(self, text: str) -> list[tuple]:
         """(start, end, name, saving, missing, added), by start."""
-        found, line = [], 0
-        while line <= len(text):
-            stop = text.find("\n", line)
-            stop = len(text) if stop < 0 else stop
-            done = line
-            while done < stop and (m := ANCHOR_PY.search(text, done, stop)):
-                # the sentence that the anchor is in, for lines may be long
-                begin = max(line, text.rfind(". ", line, m.start()) + 2 if text.rfind(". ", line, m.start()) >= 0 else line)
-                found += [(begin + x[0], begin + x[1], *x[2:]) for x in self.confirmed(text[begin : begin + self.longest])]
-                done = m.end()
-            line = stop + 1
+        at = list(WORD.finditer(lowered(text)))
+        have, found = [m[0] for m in at], []
+        todo = list(self.areas(have))
+        while todo:
+            k, lo, hi = todo.pop()
+            places, gaps = self.aligned(k, text, at, have, lo, hi)
+            todo += [(k, *x) for x in gaps]
+            for first, last, missing, added, n in places:
+                start, end = at[first].start(), at[last].end()
+                if (saved := self.saving(k, text, start, end)) > 0:
+                    found.append((start, end, self.names[k], saved, missing, added, n, k))
         out: list[tuple] = []
-        for x in sorted(found, key=lambda x: (len(x[4]) - x[6], -x[3], x[0])):
-            if all(x[1] <= y[0] or y[1] <= x[0] for y in out):
-                out.append(x)
-        return sorted(x[:6] for x in out)
+        for x in sorted(found, key=lambda x: (len(x[4]) - x[6], -x[3], x[0], x[7])):
+            i = bisect.bisect(out, x[0], key=lambda y: y[0])
+            if (not i or out[i - 1][1] <= x[0]) and (i == len(out) or x[1] <= out[i][0]):
+                out.insert(i, x)
+        return [x[:6] for x in out]
 
 
 _scanners: dict[tuple, Scanner] = {}
