@@ -155,6 +155,19 @@ def licenses(text):
     return [(text[x[0] : x[1]], x[2]) for x in license_scan.Scanner().scan(text)]
 
 
+def test_html_without_article():
+    p = [f"<p>{' '.join(WORDS)} part {i} of the text, which is as long as such texts are.</p>" for i in range(24)]
+    plain = lambda x: " ".join(re.sub("<[^>]*>", " ", x).split())
+    for tag in ("div", "section"):
+        for parts in ([p[0], p[1], p[2]], ["".join(p[:10]), "".join(p[10:15]), "<h2>Last</h2>" + "".join(p[15:])]):
+            page = "<body><h1>Title</h1>" + "".join(f"<{tag}>{x}</{tag}>" for x in parts) + "</body>"
+            assert html_extract.main_text(page) == plain(page)
+    junk = "<div>Tagline</div><div><a href=a>One</a> of <a href=b>two</a></div>"
+    text = "<h1>Title</h1>" + "".join(p)
+    assert html_extract.main_text(f"<body><div>{junk}<div>{text}</div><div>Contact us</div></div></body>") == plain(text)
+    assert html_extract.main_text(f"<body>{text}</body>") == plain(text)
+
+
 def test_license_all_rights_reserved():
     for notice in (
         "All rights reserved", "Copyright (c) 2011-2020 The Regents of the University of California. All rights reserved",

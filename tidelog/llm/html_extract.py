@@ -4,8 +4,10 @@ A page becomes a tree. Elements that never are article text (menus, headers, foo
 notices, adverts, forms, scripts, styles, reader comments) go by tag, role, class or id, and small
 blocks go where nearly all text is links. Each node's density is its characters per tag, adjusted
 by how much of them are links; a node's density sum is that of its children. The subtree with the
-largest density sum is selected, and grows to the ancestor just below the body as long as the
-densities on the way stay at the threshold, the least one between the subtree and the body.
+largest density sum is selected. If it is in an article or main, the outermost of these is the text.
+Else all nodes compete, the body too, and every subtree whose density reaches the threshold, a share
+of the least density between the selected one and the body, gives its own subtree with the largest
+sum. Paragraphs, headings, lists, tables, quotes and loose text beside one of these belong to it.
 
 Defined results: null or empty html, or a page without text, gives the empty text; unclosed and
 stray tags are repaired the way browsers do for paragraphs, list items and table cells; character
@@ -53,6 +55,9 @@ NOISE = frozenset(
     "copyright legal disclaimer skip form search hidden".split()
 )
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: What belongs to a selected subtree beside it.
+BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table".split())
+SHARE = 0.25  # of the least density on the path, which other subtrees must reach
 LINKS = 0.6  # of its characters, from which on a block without a paragraph is a list of links
 
 
@@ -225,19 +230,46 @@ def select(root: Node) -> Node | None:
     while best.parent is not None and best is not body:
         path.append(best)
         best = best.parent
-    if not path:
-        return body
     for wanted in ("article", "main"):
         if held := [x for x in path if x.tag == wanted]:
             return held[-1]
-    threshold = min(x.density for x in path)
-    top = path[0]
-    for x in path[1:]:
-        if x.density < threshold:
-            break
-        top = x
-    # siblings of the same kind as a lone paragraph belong to it: the body itself is the article then
-    return body if top.parent is body and top.tag in ("p", "h1", "h2", "h3", "ul", "ol", "blockquote", "pre", "table") else top
+    _keep(body, [x for x in order if x is body or x.chars and x.tag in BLOCK and x.tag != "html"])
+    return body
+
+
+def _keep(body: Node, nodes: list[Node]) -> None:
+    """Marks as noise what isn't in or beside a subtree at or above the threshold. nodes: in page order."""
+    best = max(nodes, key=lambda x: x.total)
+    if best is body:
+        return
+    path, most = {body}, {}
+    while best is not body:
+        path.add(best)
+        best = best.parent
+    least = SHARE * min(x.density for x in path)
+    for x in reversed(nodes):  # the largest sum in each subtree; inline nodes hand it on
+        most[x] = max(most.get(x, x), x, key=lambda y: y.total)
+        up = x
+        while up is not body and (up := up.parent) is not body and up.tag not in BLOCK:
+            pass
+        most[up] = max(most.get(up, up), most[x], key=lambda y: y.total)
+    kept, on, stack = set(), set(), [body]
+    while stack:
+        x = stack.pop()
+        if x in kept or x not in path and x.density < least:
+            continue
+        top = most.get(x, x)
+        kept.add(top)
+        while top is not body:
+            top = top.parent
+            on.add(top)
+        stack += [y for y in x.parts if isinstance(y, Node) and not y.noise]
+    for x in on - kept:
+        parts = [y for y in x.parts if isinstance(y, Node)]
+        beside = any(y in kept for y in parts)
+        for y in parts:
+            if y not in kept and y not in on and not (y.chars > y.link_chars if y.tag not in BLOCK else beside and y.tag in BESIDE):
+                y.noise = True
 
 
 def _walk(root: Node) -> Iterator[Node]:
