@@ -168,6 +168,21 @@ def test_html_without_article():
     assert html_extract.main_text(f"<body>{text}</body>") == plain(text)
 
 
+def test_html_marks():
+    text = "<p>one two three four five</p>"
+    for part in (
+        '<p>see <a href="/travel/hidden-valley">the valley</a> and <a href="/q?id=search">that</a></p>', '<p title="A hidden gem">gem</p>', '<section id="discussion"><p>talk</p></section>', '<div id="related-work"><p>work</p></div>',
+        '<div class="overflow-hidden"><p>box</p></div>', "<p data-class='ad' data-id=comments>data</p>", '<h2 id="share">Share</h2>', "<ul class=references><li><a href=a>First reference</a></li><li><a href=b>Second</a></li></ul>",
+    ):
+        page = f"<body><article class='post comments-open'>{text}{part}</article>"
+        assert html_extract.main_text(page) == "one two three four five " + " ".join(re.sub("<[^>]*>", " ", part).split()), part
+    for mark in ('class="Sidebar"', 'class="Footer"', "CLASS=siteFooter", 'id="SIDEBAR"', "hidden", 'aria-hidden="true"', "style='display:none'", 'role="note"'):
+        assert html_extract.main_text(f"<body>{text}<div {mark}>x</div>") == "one two three four five", mark
+    for mark in ('class="Comments"', 'class="ad-slot"', 'class="post-share"', 'id="comments"', 'class="hidden"'):
+        assert html_extract.main_text(f"<article>{text}<div {mark}>x</div></article>") == "one two three four five", mark
+    assert html_extract.main_text(f"<article>{text}<ul class=related><li><a href=a>x</a><li><a href=b>y</a></ul></article>") == "one two three four five"
+
+
 def test_license_all_rights_reserved():
     for notice in (
         "All rights reserved", "Copyright (c) 2011-2020 The Regents of the University of California. All rights reserved",

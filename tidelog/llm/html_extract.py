@@ -2,7 +2,7 @@
 
 A page becomes a tree. Elements that never are article text (menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles, reader comments) go by tag, role, class or id, and small
-blocks go where nearly all text is links. Each node's density is its characters per tag, adjusted
+blocks go where nearly all text is links (in an article, only marked ones). Each node's density is its characters per tag, adjusted
 by how much of them are links; a node's density sum is that of its children. The subtree with the
 largest density sum is selected. If it is in an article or main, the outermost of these is the text.
 Else all nodes compete, the body too, and every subtree whose density reaches the threshold, a share
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from .common import ship
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 BLOCK = frozenset(
@@ -52,20 +52,27 @@ NOISE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pager pagination sidebar sidebars aside rail widget widgets "
     "footer header masthead topbar toolbar cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist disqus discussion replies reply respond share sharing social related recommended recommendations teaser teasers outbrain taboola "
-    "copyright legal disclaimer skip form search hidden".split()
+    "copyright legal disclaimer skip form search".split()
 )
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
+#: Those that do inside an article too, where sections may be named for what they are about.
+NOISE_INSIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo comment comments commentlist disqus respond "
+    "share sharing newsletter subscribe signup login outbrain taboola cookie cookies consent gdpr popup form search".split()
+)
+SPLIT = re.compile(r"[^A-Za-z0-9]+")
+HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: What belongs to a selected subtree beside it.
 BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table".split())
 SHARE = 0.25  # of the least density on the path, which other subtrees must reach
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LINKS = 0.6  # of its characters, from which on a block without a paragraph is a list of links
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "main", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "marks", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.parts, self.noise, self.main = tag, parent, [], noise, tag in ("article", "main")
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, marks: str = ""):
+        self.tag, self.parent, self.parts, self.noise, self.marks = tag, parent, [], noise, marks
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
@@ -75,15 +82,29 @@ def _noise(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
-    if tag in ("article", "main") and "comment" not in attributes.lower():
-        return False
-    for name, *values in ATTRIBUTE.findall(attributes) if attributes else ():
-        name, value = name.lower(), "".join(values)
-        if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id") and any(w.lower() in NOISE for w in SPLIT.split(value) if w) and not (in_article and re.search(r"header|title", value, re.I) and tag[0] == "h"):
-            return True
-    return False
+    values: dict[str, str] = {}
+    for name, *value in ATTRIBUTE.findall(attributes) if attributes else ():
+        values.setdefault(name.lower(), "".join(value))
+    classes, own = values.get("class", ""), values.get("id", "")
+    if tag in ("article", "main"):
+        return "comment" in classes.lower().split()
+    if values.get("role", "").strip().lower() in ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
+        return True
+    if "hidden" in classes.lower().split():
+        return True
+    if in_article:  # an id is often the words of a heading
+        return not (tag[0] == "h" and re.search("header|title", classes, re.I)) and bool(_words(classes) & NOISE_INSIDE) or own.lower() in NOISE_INSIDE and tag not in HEADINGS
+    return _marked(classes, own)
+
+
+def _words(value: str) -> set[str]:
+    """The words of a class or id, in lower case: 'sideBar' has side, bar and sidebar."""
+    parts = SPLIT.split(value)
+    return {x.lower() for part in parts for x in (part, *HUMP.split(part)) if x}
+
+
+def _marked(classes: str, own: str) -> bool:
+    return bool((_words(classes) | _words(own)) & NOISE)
 
 
 def parse(page: str) -> Node:
@@ -158,7 +179,7 @@ def parse(page: str) -> Node:
                 at = up.parent
                 if tag == "tr" and at.tag == "tr":
                     at = at.parent
-        node = Node(tag, at, _noise(tag, m[3], articles > 0))
+        node = Node(tag, at, _noise(tag, m[3], articles > 0), m[3] if articles > 0 else "")
         at.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -173,15 +194,23 @@ def parse(page: str) -> Node:
     return root
 
 
+def _related(attributes: str) -> bool:
+    """Of a list of links inside an article: whether it is marked as no part of it, unlike references."""
+    values = {name.lower(): "".join(value) for name, *value in reversed(ATTRIBUTE.findall(attributes))} if attributes else {}
+    return _marked(values.get("class", ""), values.get("id", ""))
+
+
 def measure(root: Node) -> None:
     """chars, link_chars, tags, link_tags of every node, children first; noise counts as nothing."""
-    order, stack = [], [(root, False)]
-    links = {}
+    order, stack = [], [(root, False, False)]
+    links, articles = {}, set()
     while stack:
-        node, inside = stack.pop()
+        node, inside, article = stack.pop()
         order.append(node)
         links[node] = inside = inside or node.tag == "a"
-        stack += [(x, inside) for x in node.parts if isinstance(x, Node) and not x.noise]
+        if article := article or node.tag in ("article", "main"):
+            articles.add(node)
+        stack += [(x, inside, article) for x in node.parts if isinstance(x, Node) and not x.noise]
     for node in reversed(order):
         chars = link_chars = tags = link_tags = 0
         for x in node.parts:
@@ -192,7 +221,7 @@ def measure(root: Node) -> None:
             elif not x.noise:
                 chars, link_chars, tags, link_tags = chars + x.chars, link_chars + x.link_chars, tags + x.tags + 1, link_tags + x.link_tags + (x.tag == "a")
         node.chars, node.link_chars, node.tags, node.link_tags = chars, link_chars, tags, link_tags
-        if node.tag in BLOCK and node.tag not in ("p", "body", "html", "article", "main", "br") and chars and link_chars >= LINKS * chars and link_tags > 1:
+        if node.tag in BLOCK and node.tag not in ("p", "body", "html", "article", "main", "br") and chars and link_chars >= LINKS * chars and link_tags > 1 and (node not in articles or _related(node.marks)):
             node.noise = True
             node.chars = node.link_chars = node.tags = node.link_tags = 0
 
