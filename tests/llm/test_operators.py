@@ -222,6 +222,13 @@ def test_license_wrapped(spark):
     assert [x[1] for x in licenses(f"{MPL}.\n{MPL[5:]}.\n{MPL}.\nAll rights reserved. All rights reserved.")] == ["MPL"] * 3 + ["All-rights-reserved"] * 2
 
 
+def test_license_spdx():
+    for x in ("MIT", "Apache-2.0 OR MIT", "GPL-2.0-or-later WITH Classpath-exception-2.0", "(MIT AND BSD-3-Clause)"):
+        tag = f"SPDX-License-Identifier: {x}"
+        assert licenses(f"// {tag}.\nint main()") == [(tag, f"SPDX:{x}")]
+    assert licenses("The SPDX license identifier is a tag.") == []
+
+
 def test_topk(spark):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=24).round(2).tolist()) for i in range(300)] + [(40, None), (7, [1.0, None]), (60, [float("nan")] * 24)]

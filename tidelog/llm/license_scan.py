@@ -51,6 +51,7 @@ TEMPLATES = (
     ("CC-BY-SA", "This work is licensed under a Creative Commons Attribution-ShareAlike {} International License."),
     ("CC-BY-NC", "This work is licensed under a Creative Commons Attribution-NonCommercial {} International License."),
     ("CC0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("SPDX", "SPDX-License-Identifier: {}"),
     ("Public-domain", "This is free and unencumbered software released into the public domain."),
     ("All-rights-reserved", "Copyright {holder}. All rights reserved."),
     ("All-rights-reserved", "(c) {holder}. All rights reserved."),
@@ -68,6 +69,9 @@ TEMPLATES = (
 
 WORD = re.compile(r"©|[^\W_]+(?:\.[0-9]+)*")
 SLOT = re.compile(r"\{\}|\{holder\}")
+#: The identifiers after an SPDX tag, joined as SPDX has it; the finding's name holds them.
+SPDX_ID = r"\(*(?:[A-Za-z0-9][A-Za-z0-9.+:-]*[A-Za-z0-9+]|[A-Za-z0-9])\)*"
+SPDX = re.compile(rf"(?i)SPDX-License-Identifier:[ \t]*({SPDX_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{SPDX_ID})*)")
 #: A line's end, with the marks of a comment that may begin the next one.
 WRAP = re.compile(r"\s*\n[\s*#/;%!-]*")
 #: An empty line ends a sentence, or a full stop before a capital, unless it follows a number, an
@@ -208,9 +212,13 @@ class Scanner:
             places, gaps = self.aligned(k, text, at, have, lo, hi)
             todo += [(k, *x) for x in gaps]
             for first, last, missing, added, n in places:
-                start, end = at[first].start(), at[last].end()
+                start, end, name = at[first].start(), at[last].end(), self.names[k]
+                if name == "SPDX":
+                    if not (m := SPDX.match(text, start)):
+                        continue
+                    name, end, added = f"SPDX:{m[1]}", m.end(1), [x.lower() for x in WORD.findall(m[1])]
                 if (saved := self.saving(k, text, start, end)) > 0:
-                    found.append((start, end, self.names[k], saved, missing, added, n, k))
+                    found.append((start, end, name, saved, missing, added, n, k))
         out: list[tuple] = []
         for x in sorted(found, key=lambda x: (len(x[4]) - x[6], -x[3], x[0], x[7])):
             i = bisect.bisect(out, x[0], key=lambda y: y[0])
