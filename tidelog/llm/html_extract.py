@@ -1,25 +1,34 @@
 """Operator 1: main text by composite text density.
 
-A page becomes a tree. Elements that never are article text (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, styles, reader comments) go by tag, role, class or id, and small
-blocks go where nearly all text is links (in an article, only marked ones). Each node's density is its characters per tag, adjusted
-by how much of them are links; a node's density sum is that of its children. The subtree with the
-largest density sum is selected. If it is in an article or main, the outermost of these is the text.
-Else all nodes compete, the body too, and every subtree whose density reaches the threshold, a share
-of the least density between the selected one and the body, gives its own subtree with the largest
-sum. Paragraphs, headings, lists, tables, quotes and loose text beside one of these belong to it.
-
-Defined results: null or empty html, or a page without text, gives the empty text; unclosed and
+A page becomes a tree. Elements whose tag, role or hidden state says that they never are article text
+(menus, headers, footers, sidebars, forms, scripts, styles) go first. Each other node has a density:
+its characters outside links, per tag that is no link, times the share of its text outside links; a
+node's density sum is its own characters and the densities of its children. The node with the largest
+density sum is selected; the least density on the path from it to the body is the threshold. From the
+body down, every node that reaches the threshold gives the subtree with the largest sum in it, and is
+looked into; a node that doesn't is left. Paragraphs, headings, lists, tables, quotes and loose text
+beside one of these subtrees belong to it, and so do blocks between two of them.
+
+Words of a class or id (adverts, sharing, comments ...), a heading that announces comments, and text
+that is nearly all links are a prior: they lower a node's density to PRIOR of it and keep it out of the
+counts of what holds it. Nothing is removed for that alone: beside or in a selected subtree such a block
+goes if its density is below that of the selected node or the mean of its children, and it is selected like any other where the
+page's text is in it.
+
+The published density has a logarithm whose base depends on the page's links and tends to 1 where it
+has few, so that any short line there is denser than an article; the plain ratio doesn't have that.
+
+Defined results: null or empty html, or a page without text, gives the empty text; a text of any length
+is extracted whole; of equal density sums the last node in page order is selected, so the inmost; unclosed and
 stray tags are repaired the way browsers do for paragraphs, list items and table cells; character
 references are decoded; white space (as Unicode has it) inside a block becomes one space, blocks are
-trimmed and joined by one space, empty ones dropped; one row per row; an empty table gives an empty
-result; other columns are not read.
+trimmed and joined by one space, empty ones dropped; one row per row, repeated rows too; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -63,38 +72,44 @@ SPLIT = re.compile(r"[^A-Za-z0-9]+")
 HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 #: What belongs to a selected subtree beside it.
 BESIDE = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table".split())
-SHARE = 0.25  # of the least density on the path, which other subtrees must reach
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LINKS = 0.6  # of its characters, from which on a block without a paragraph is a list of links
+PRIOR = 0.1  # of its density that a block keeps for which its words or links are a reason
+#: How pages in the languages of the corpus announce what readers wrote.
+REMARKS = re.compile(r"\W*(?:\d+\W*)?(?:(?:reader|readers|user|visitor|leave an?|post an?|your)\W+)?(?:comments?|remarks?|replies|responses|reply|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)\W*(?:\d+\W*)?", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "noise", "marks", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "parts", "noise", "doubted", "marks", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False, marks: str = ""):
-        self.tag, self.parent, self.parts, self.noise, self.marks = tag, parent, [], noise, marks
+    def __init__(self, tag: str, parent: Node | None, attributes: str = "", in_article: bool = False):
+        self.tag, self.parent, self.parts, self.marks = tag, parent, [], attributes if in_article else ""
+        self.noise, self.doubted = _noise(tag, attributes, in_article)
         self.chars = self.link_chars = self.tags = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noise(tag: str, attributes: str, in_article: bool) -> bool:
+def _noise(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element never is article text, and whether its words are a reason to doubt that it is."""
     if tag in ("html", "body"):
-        return False
+        return False, False
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, False
+    if not attributes:
+        return False, False
     values: dict[str, str] = {}
-    for name, *value in ATTRIBUTE.findall(attributes) if attributes else ():
+    for name, *value in ATTRIBUTE.findall(attributes):
         values.setdefault(name.lower(), "".join(value))
     classes, own = values.get("class", ""), values.get("id", "")
-    if tag in ("article", "main"):
-        return "comment" in classes.lower().split()
     if values.get("role", "").strip().lower() in ROLES or "hidden" in values or values.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", values.get("style", ""), re.I):
-        return True
+        return True, False
     if "hidden" in classes.lower().split():
-        return True
+        return True, False
+    if tag in ("article", "main"):
+        return False, "comment" in classes.lower().split()
     if in_article:  # an id is often the words of a heading
-        return not (tag[0] == "h" and re.search("header|title", classes, re.I)) and bool(_words(classes) & NOISE_INSIDE) or own.lower() in NOISE_INSIDE and tag not in HEADINGS
-    return _marked(classes, own)
+        return False, not (tag[0] == "h" and re.search("header|title", classes, re.I)) and bool(_words(classes) & NOISE_INSIDE) or own.lower() in NOISE_INSIDE and tag not in HEADINGS
+    return False, _marked(classes, own)
 
 
 def _words(value: str) -> set[str]:
@@ -160,7 +175,7 @@ def parse(page: str) -> Node:
         if tag in ("html", "head", "body"):
             if tag not in top and "body" not in top and (tag == "body" or at.tag in ("#root", "html")):
                 held = top.get("html", root)
-                at = top[tag] = Node(tag, held, _noise(tag, m[3], False))
+                at = top[tag] = Node(tag, held, m[3])
                 held.parts.append(at)
             continue
         if tag not in HEAD:
@@ -179,7 +194,7 @@ def parse(page: str) -> Node:
                 at = up.parent
                 if tag == "tr" and at.tag == "tr":
                     at = at.parent
-        node = Node(tag, at, _noise(tag, m[3], articles > 0), m[3] if articles > 0 else "")
+        node = Node(tag, at, m[3], articles > 0)
         at.parts.append(node)
         if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
             continue
@@ -200,13 +215,43 @@ def _related(attributes: str) -> bool:
     return _marked(values.get("class", ""), values.get("id", ""))
 
 
+def _announced(node: Node) -> None:
+    """Doubts what follows a heading that announces comments, up to the next heading, or the block that it opens."""
+    on, first = False, True
+    for x in node.parts:
+        if isinstance(x, str) or x.noise:
+            first = first and not (isinstance(x, str) and x.strip())
+            continue
+        if x.tag in HEADINGS or first and x.tag in ("b", "strong", "p", "div", "span", "legend"):
+            words = "".join(y for y in _text(x, 60))
+            if on := bool(words.strip()) and len(words) <= 60 and REMARKS.fullmatch(html.unescape(words)) is not None:
+                if first and node.tag not in ("body", "html", "article", "main", "#root"):
+                    node.doubted = True
+        first = False
+        x.doubted = x.doubted or on
+
+
+def _text(node: Node, most: int) -> Iterator[str]:
+    """The text of a node, up to the piece that makes it longer than most."""
+    stack: list = [node]
+    while stack and most >= 0:
+        x = stack.pop()
+        if isinstance(x, str):
+            most -= len(x)
+            yield x
+        elif not x.noise:
+            stack += reversed(x.parts)
+
+
 def measure(root: Node) -> None:
-    """chars, link_chars, tags, link_tags of every node, children first; noise counts as nothing."""
+    """chars, link_chars, tags, link_tags of every node, children first; noise counts as nothing, and what
+    is doubted counts for itself alone."""
     order, stack = [], [(root, False, False)]
     links, articles = {}, set()
     while stack:
         node, inside, article = stack.pop()
         order.append(node)
+        _announced(node)
         links[node] = inside = inside or node.tag == "a"
         if article := article or node.tag in ("article", "main"):
             articles.add(node)
@@ -218,87 +263,97 @@ def measure(root: Node) -> None:
                 n = len("".join(x.split()))
                 chars += n
                 link_chars += n * links[node]
-            elif not x.noise:
-                chars, link_chars, tags, link_tags = chars + x.chars, link_chars + x.link_chars, tags + x.tags + 1, link_tags + x.link_tags + (x.tag == "a")
+            elif not (x.noise or x.doubted):
+                chars, link_chars, tags, link_tags = chars + x.chars, link_chars + x.link_chars, tags + x.tags + (x.tag not in VOID), link_tags + x.link_tags + (x.tag == "a")
         node.chars, node.link_chars, node.tags, node.link_tags = chars, link_chars, tags, link_tags
         if node.tag in BLOCK and node.tag not in ("p", "body", "html", "article", "main", "br") and chars and link_chars >= LINKS * chars and link_tags > 1 and (node not in articles or _related(node.marks)):
-            node.noise = True
-            node.chars = node.link_chars = node.tags = node.link_tags = 0
+            node.doubted = True
 
 
-def densities(root: Node, body: Node) -> list[Node]:
+def density(node: Node) -> float:
+    """Characters outside links per tag that is no link, times the share of text outside links."""
+    plain = node.chars - node.link_chars
+    return (PRIOR if node.doubted else 1.0) * plain / (node.tags - node.link_tags + 1) * plain / node.chars if node.chars else 0.0
+
+
+def densities(root: Node) -> list[Node]:
     """Sets density and total, returns the nodes in page order."""
-    ratio = body.link_chars / body.chars if body.chars else 0.0
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
         stack += [x for x in reversed(node.parts) if isinstance(x, Node) and not x.noise]
     for node in reversed(order):
-        c, t = node.chars, max(1, node.tags)
-        if c:
-            plain, linked = max(1, c - node.link_chars), max(1, node.link_chars)
-            base = math.log(c / plain * node.link_chars + ratio * c + math.e)
-            node.density = c / t * math.log(max(1.0, c / linked * t / max(1, node.link_tags)) + 1e-9) / math.log(max(base, math.e)) if c > 1 else 0.1
-        else:
-            node.density = 0.0
+        node.density = density(node)
         own = sum(len("".join(x.split())) for x in node.parts if isinstance(x, str))
-        node.total = own + sum(x.density for x in node.parts if isinstance(x, Node) and not x.noise)
+        node.total = own * (PRIOR if node.doubted else 1.0) + sum(x.density for x in node.parts if isinstance(x, Node) and not x.noise)
     return order
 
 
 def select(root: Node) -> Node | None:
+    """The body, with all that isn't the page's text marked as noise; None if there is no text."""
     body = next((x for x in _walk(root) if x.tag == "body"), root)
     measure(root)
-    order = densities(root, body)
-    inside = [x for x in order if x.chars and x.tag in BLOCK and x.tag not in ("html", "body")]
-    if not inside:
-        return body if body.chars else None
-    best = max(inside, key=lambda x: x.total)
-    path = []
-    while best.parent is not None and best is not body:
-        path.append(best)
-        best = best.parent
-    for wanted in ("article", "main"):
-        if held := [x for x in path if x.tag == wanted]:
-            return held[-1]
-    _keep(body, [x for x in order if x is body or x.chars and x.tag in BLOCK and x.tag != "html"])
+    nodes = [x for x in densities(root) if x is body or x.total and x.tag in BLOCK and x.tag != "html"]
+    best = max(reversed(nodes), key=lambda x: x.total)
+    if not best.total:
+        return body if any(x.strip() for x in _text(body, 1 << 60)) else None
+    path, up = [best], best
+    while up is not body and up.parent is not None:
+        up = up.parent
+        path.append(up)
+    least = min((x.density for x in path if x.density), default=0.0)
+    held = sum(isinstance(x, str) and not x.isspace() or isinstance(x, Node) and x.density > 0 and not x.noise for x in best.parts)
+    _keep(body, nodes, set(path), least, max(least, best.density, best.total / max(1, held)))
     return body
 
 
-def _keep(body: Node, nodes: list[Node]) -> None:
-    """Marks as noise what isn't in or beside a subtree at or above the threshold. nodes: in page order."""
-    best = max(nodes, key=lambda x: x.total)
-    if best is body:
-        return
-    path, most = {body}, {}
-    while best is not body:
-        path.add(best)
-        best = best.parent
-    least = SHARE * min(x.density for x in path)
+def _keep(body: Node, nodes: list[Node], path: set[Node], least: float, doubted: float) -> None:
+    """Marks as noise what isn't in or beside a selected subtree, and what is doubted in one. nodes: in page order."""
+    most: dict[Node, Node] = {}
     for x in reversed(nodes):  # the largest sum in each subtree; inline nodes hand it on
         most[x] = max(most.get(x, x), x, key=lambda y: y.total)
         up = x
         while up is not body and (up := up.parent) is not body and up.tag not in BLOCK:
             pass
-        most[up] = max(most.get(up, up), most[x], key=lambda y: y.total)
+        most[up] = max(most.get(up, most[x]), most[x], key=lambda y: y.total)
     kept, on, stack = set(), set(), [body]
     while stack:
         x = stack.pop()
-        if x in kept or x not in path and x.density < least:
+        if x in kept:
             continue
-        top = most.get(x, x)
-        kept.add(top)
-        while top is not body:
-            top = top.parent
-            on.add(top)
+        if x.tag in BLOCK or x is body:
+            if x not in path and x.density < (doubted if x.doubted else least):
+                continue
+            top = most.get(x, x)
+            kept.add(top)
+            while top is not body:
+                top = top.parent
+                on.add(top)
+            if x in kept:
+                continue
         stack += [y for y in x.parts if isinstance(y, Node) and not y.noise]
     for x in on - kept:
-        parts = [y for y in x.parts if isinstance(y, Node)]
-        beside = any(y in kept for y in parts)
-        for y in parts:
-            if y not in kept and y not in on and not (y.chars > y.link_chars if y.tag not in BLOCK else beside and y.tag in BESIDE):
+        parts = [y for y in x.parts if isinstance(y, Node) and not y.noise]
+        held = [k for k, y in enumerate(parts) if y in kept or y in on]
+        for k, y in enumerate(parts):
+            if y in kept or y in on:
+                continue
+            if y.tag not in BLOCK:
+                y.noise = y.chars <= y.link_chars
+            elif y.doubted or not any(p in kept for p in parts):
                 y.noise = True
+            else:
+                y.noise = y.tag not in BESIDE and not held[0] < k < held[-1]
+    stack = [body]
+    while stack:
+        x = stack.pop()
+        for y in x.parts:
+            if isinstance(y, Node) and not y.noise:
+                if y.doubted and y.density < doubted and y not in path and y not in on:
+                    y.noise = True
+                else:
+                    stack.append(y)
 
 
 def _walk(root: Node) -> Iterator[Node]:
