@@ -12,12 +12,17 @@ marginals are those of the whole chain. A document's score is a logistic functio
 training rows, of the sum, the largest and the mean of its marginals; offending offsets are the runs
 of tokens with a marginal of at least 0.5.
 
-Training takes at most MAX_ROWS labelled rows of either class, in the order of a hash of doc_id, from
-the rows that `held_out` leaves; labels, lang, source and doc_id are no inputs. Defined results: null
-and empty text score as no token; a doc_id labelled twice counts as toxic if either label does; null
-labels are left out; without both classes to learn from every score is the share of toxic rows (0 if
-there are no rows); repeated rows are rows each; an empty table gives an empty result; other columns
-are not read. Offsets are code points, end exclusive.
+Training runs on the driver, on a sample bounded in all respects: at most MAX_ROWS labelled rows of
+either class, in the order of a hash of doc_id, from the rows that `held_out` leaves; none of more than
+MAX_BYTES / 100, and MAX_BYTES of text in all; the MAX_FEATURES words and beginnings that speak most for
+toxic text; and of their windows of WINDOW tokens those with such a feature and about PLAIN_WINDOWS
+others. Scoring has no bound: every whole text is read.
+
+Labels, lang, source and doc_id are no inputs. Defined results: null and empty text score as no token; a
+doc_id labelled twice counts as toxic if either label does; null labels are left out; without both
+classes to learn from every score is the share of toxic rows (0 if there are no rows); ties in the
+sample's order go by doc_id, then a hash of the text; repeated rows are rows each; an empty table gives
+an empty result; other columns, whatever their names, are not read. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -30,14 +35,14 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import release, ship, text_of
+from .common import release, ship, stored, text_of
 
 WORD = re.compile(r"\w+")
 PREFIXES = (3, 4, 5, 6)
-MAX_ROWS, MAX_FEATURES, WINDOW, PLAIN_WINDOWS = 2500, 50_000, 64, 3000
+MAX_ROWS, MAX_BYTES, MAX_FEATURES, WINDOW, PLAIN_WINDOWS = 2500, 32 << 20, 50_000, 64, 3000
 ROUNDS, STEPS, L2 = 2, 40, 1e-3
 CUT, KEPT = 0.3, 150_000
 
@@ -271,16 +276,21 @@ def train(rows: list[tuple[str, int]], seed: int = 5) -> Model:
     return model
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> list[tuple[str, int]]:
-    """At most `most` labelled texts of either class. The rows are chosen from the labels alone; texts
-    are then looked up by that bounded list."""
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, most_bytes: int = MAX_BYTES) -> list[tuple[str, int]]:
+    """At most `most` labelled texts of either class and most_bytes of them. The rows are chosen from the
+    labels alone; texts are then looked up by that bounded list."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("y"))
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most) for y in (0, 1)]
     ids = chosen[0].union(chosen[1]).withColumnRenamed("doc_id", "__id")
     own = docs.select(docs["doc_id"], text_of(docs).alias("text"))
-    found = own.join(F.broadcast(ids), own["doc_id"] == ids["__id"]).select("doc_id", "text", "y")
-    rows = found.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(2 * most).select("text", "y").toPandas()
+    found = own.join(F.broadcast(ids), own["doc_id"] == ids["__id"])
+    found = stored(found.select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("of"), F.monotonically_increasing_id().alias("row"), F.octet_length("text").cast("long").alias("size"), "y", "text"), "toxic-sample")
+    # sizes of a bounded number of rows
+    first = found.drop("text", "y").where(F.col("size") <= most_bytes // 100).orderBy("h", "doc_id", "of", "row").limit(2 * most)
+    total = F.sum("size").over(Window.orderBy("h", "doc_id", "of", "row"))
+    fits = first.withColumn("total", total).where(F.col("total") <= most_bytes).select("row")
+    rows = found.join(F.broadcast(fits), "row").orderBy("h", "doc_id", "of").select("text", "y").toPandas()
     return list(zip(rows["text"], map(int, rows["y"])))
 
 
