@@ -42,6 +42,10 @@ class Words:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.model = json.loads(self.tokenizer.to_str())
+        if self.model["normalizer"] is not None or self.model["model"]["type"] != "BPE":
+            raise ValueError(f"{path}: only byte-pair vocabularies without a normaliser are supported")
+        #: Whether FAST and PATTERN are the file's own way to cut words.
+        self.usual = _is_usual(self.model["pre_tokenizer"])
         self.special = {x["content"]: x["id"] for x in self.model["added_tokens"]}
         self.at_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
@@ -54,18 +58,35 @@ class Words:
         return self.plain(text)
 
     def plain(self, text: str) -> list[str]:
-        if OTHER.search(text) is None:
+        if self.usual and OTHER.search(text) is None:
             return FAST.findall(text)
         return [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
 
+def _is_usual(pre: dict | None) -> bool:
+    return bool(pre) and pre["type"] == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+
+
+def _by_rank(model: dict, special: dict[str, int]) -> bool:
+    """Whether merging by the lowest id of a pair is merging in the order of the file's merges."""
+    if model.get("dropout") or model.get("ignore_merges") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix"):
+        return False
+    ids = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+    long = {i for t, i in model["vocab"].items() if len(t) > 1 and t not in special}
+    return None not in ids and all(a < b for a, b in zip(ids, ids[1:])) and long == set(ids)
+
+
 class Ids(Words):
     """encode(text): the library's ids as bytes, little-endian unsigned 32-bit. The same vocabulary and
     pattern in tiktoken give the same ids several times faster; it takes the texts that the fast
-    pattern may take, and the tokenizers library all others."""
+    pattern may take, and the tokenizers library all others. A vocabulary with another pattern, or whose
+    ids aren't in the order of its merges, goes through the library altogether."""
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.fast = None
+        if not self.usual or not _by_rank(self.model["model"], self.special):
+            return
         import tiktoken
 
         byte = {c: b for b, c in enumerate(_byte_letters())}
@@ -73,7 +94,7 @@ class Ids(Words):
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if OTHER.search(text) is None and not any(s in text for s in self.special):
+        if self.fast is not None and OTHER.search(text) is None and not any(s in text for s in self.special):
             return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
