@@ -1,17 +1,24 @@
 """Operator 9: exact deduplication by two-pass Bloom filtering (DataFrame functions only).
 
-Pass 1 sets two bits for every text hash in a bitmap of bounded size and marks the bits that
-two or more rows set. Pass 2 probes it: a row with both bits marked may be repeated and is
-shuffled to its group, any other row is unique and passes straight through.
+Pass 1 sets a bit for every text hash, BITS_PER_ROW bits a row, and marks the bits that two or more
+rows set. Pass 2 probes them: a row whose bit is marked may be repeated and is shuffled to its group,
+any other row is unique and passes straight through.
 
-A bitmap has at most MAX_BITS bits (32 MB), which bounds the broadcast. Larger inputs are cut by
-hash into shards, one bitmap each, so that the false positive rate does not grow with the data.
-Only fingerprints (row id, SHA-256) are ever shuffled or stored, never texts.
+What pass 1 exchanges is the number of a bit, once a task that sets it: eight bytes a row before
+compression, no texts and no hashes. Bitmaps of one size merged by OR and AND would be more: to tell
+which of 16 N bits a task of n rows has set takes at least n * log2(16 N / n) bits, and a bitmap of all
+bits for each task is larger still from 1 / 64 of them set. One hash a row instead of two halves the
+exchange; of the unique rows about 6 in 100 then meet another's bit and are shuffled too.
+
+The marked bits are broadcast as a bitmap while all bits are at most MAX_BITS (32 MB). Beyond that,
+fingerprints meet the words of the bitmap in a join by the word, one exchange of them whatever the size;
+bits that more than 1 / HOT_SHARE of the rows set are left out of it, for those rows are marked by the
+short list of such bits. Only fingerprints (row id, SHA-256) are ever shuffled or stored, never texts.
 
 Defined results: null text is the empty text; equal means identical after lower-casing A-Z only;
-in a group the row of the largest doc_id stays (null ids are smallest), and of repeated rows with
-that same id exactly one stays; an empty table gives an empty result; other columns, whatever
-their names, are not read.
+texts of any length are hashed whole; in a group the row of the largest doc_id stays (null ids are
+smallest), and of repeated rows with that same id exactly one stays; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -21,12 +28,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import HOT_SHARE, stored, text_of
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BITS_PER_ROW, MAX_BITS, WORD = 16, 1 << 28, 1 << 15
-#: A group with more than 1/HOT_SHARE of the rows is hot; so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 1000
 #: So many ids at most are broadcast to filter a corpus; beyond that the join is shuffled.
 MAX_BROADCAST_IDS = 1_000_000
 
@@ -41,40 +46,34 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(docs[id_col].alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(normalised(text_of(docs, text_col)).cast("binary"), 256)).alias("sha"))
 
 
-def _bits(sha: Column, size: int) -> tuple[Column, Column]:
-    half = size // 2
-    return F.pmod(F.xxhash64(sha), F.lit(half)), F.pmod(F.xxhash64(sha, F.lit(1)), F.lit(half)) + half
-
-
 def _is_set(bitmap: Column, at: Column) -> Column:
     bit = at % WORD
     byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     return F.when(bitmap.isNull(), False).otherwise(F.getbit(byte, (bit % 8).cast("int")) == 1)
 
 
-def marked(rows: DataFrame, size: int) -> DataFrame:
-    """rows and `maybe`: whether another row may have the same sha."""
-    first, second = _bits(F.col("sha"), size)
-    hit = rows.select(F.explode(F.array(first, second)).alias("at")).groupBy("at").count().where("count > 1")
-    twice = hit.groupBy((F.floor(F.col("at") / WORD)).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % WORD).alias("map"))
-    out = rows.withColumns({"a": first, "b": second})
-    for k in "ab":
-        out = out.join(F.broadcast(twice.select(F.col("word").alias(f"w{k}"), F.col("map").alias(f"m{k}"))), F.floor(F.col(k) / WORD) == F.col(f"w{k}"), "left")
-    return out.select("doc_id", "row", "sha", (_is_set(F.col("ma"), F.col("a")) & _is_set(F.col("mb"), F.col("b"))).alias("maybe"))
+def marked(rows: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """rows and `maybe`: whether another of the n rows may have the same sha."""
+    size = max(1, -(-BITS_PER_ROW * n // WORD)) * WORD
+    rows = rows.withColumn("at", F.pmod(F.xxhash64("sha"), F.lit(size)))
+    hit = rows.groupBy("at").count().where("count > 1")
+    if size > max_bits:
+        hit = stored(hit, "dedup-bits")
+    twice = hit.groupBy(F.floor(F.col("at") / WORD).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % WORD).alias("map"))
+    tagged = lambda x: x.select("doc_id", "row", "sha", _is_set(F.col("map"), F.col("at")).alias("maybe"))
+    rows = rows.withColumn("of", F.floor(F.col("at") / WORD))
+    if size <= max_bits:
+        return tagged(rows.join(F.broadcast(twice), F.col("of") == F.col("word"), "left"))
+    hot = hit.where(F.col("count") > max(1, n // HOT_SHARE)).select(F.col("at").alias("hot"))  # fewer than HOT_SHARE rows
+    rows = rows.join(F.broadcast(hot), F.col("at") == F.col("hot"), "left")
+    rest = rows.where("hot IS NULL").join(twice, F.col("of") == F.col("word"), "left")
+    return tagged(rest).union(rows.where("hot IS NOT NULL").select("doc_id", "row", "sha", F.lit(True).alias("maybe")))
 
 
 def resolve(rows: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, row, sha, keep_id, group_size, kept) for a stored table of fingerprints."""
     n = rows.count()
-    shards = max(1, -(-BITS_PER_ROW * n // max_bits))
-    size = 2 * WORD
-    while size < min(max_bits, BITS_PER_ROW * n // shards):
-        size *= 2
-    if shards == 1:
-        tagged = marked(rows, size)
-    else:
-        of = F.pmod(F.xxhash64("sha", F.lit(2)), F.lit(shards))
-        tagged = reduce(DataFrame.union, [marked(rows.where(of == k), size) for k in range(shards)])
+    tagged = marked(rows, n, max_bits)
     tagged = stored(tagged, "dedup-marked")
     alone = tagged.where("NOT maybe").select("doc_id", "row", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     again = tagged.where("maybe").drop("maybe")
