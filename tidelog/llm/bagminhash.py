@@ -4,8 +4,8 @@ A text is the multiset of its runs of SHINGLE words (lower case, letters, digits
 text with fewer words is one run). Register i of a signature is the first point of a Poisson process
 over the multiset's units of weight; two signatures agree in a register with the weighted Jaccard
 similarity as probability. Weight is cut into octaves, [0,1), [1,2), [2,4), [4,8) ..., each with one
-process of its width as rate; a point's place within its octave comes from further bits, halving by
-halving, and counts only where it is below the weight. So an element of weight w needs about log(w)
+process of its width as rate; a point's place within its octave is that many of its further bits, for
+widths are powers of two, and counts only where it is below the weight. So an element of weight w needs about log(w)
 processes, and equal elements of different weight share all points below the smaller weight.
 """
 

@@ -17,11 +17,16 @@ of THRESHOLD or more; classes are the connected components of the links. Steps:
 
 A pair at similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS, 7e-6 at 0.8 and
 2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 2e-5. Verification is
-exact. No bucket, group or candidate list is capped.
+of the whole multisets (of 64-bit hashes of the shingles). No bucket, group or candidate list is capped.
+
+Keys that many rows may share (a word key, a bucket, a class, the node that many pairs have) are split:
+hot ones meet the other side by broadcast, of which there are fewer than HOT_SHARE, or in SALTS parts.
 
 Defined results: null or empty text, or text without a word, is the empty multiset, and all of those
-are one class; repeated rows are rows of one class; class_id is the smallest doc_id of the class
-(null if it has none); an empty table gives an empty result; other columns are not read.
+are one class; texts of any length are compared whole; ties (equal signatures, equal sizes) are broken
+by hashes of row numbers and don't change the classes; repeated rows are rows of one class; class_id is
+the smallest doc_id of the class (null if it has none); an empty table gives an empty result; other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -35,12 +40,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, multiset, shingles, signatures, similarity
-from .common import parts, release, ship, stored, text_of
+from .common import join_split, release, scratch, ship, stored, text_of
 from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
 THRESHOLD, LEAST = 0.8, 0.735
 BANDS, ROWS, REGISTERS, GLANCE = 30, 5, 640, 128
-CELL = 256
+CELL, SHARE = 1024, 256
+#: Parts in which pairs with a hot node learn in how many cells they are verified.
+SALTS = 64
 #: Signatures that agree so well are verified first; trees that this joins need no further pair.
 STEPS = (1.0, 0.78, LEAST)
 CHUNK_DOCS, CHUNK_BYTES = 400, 3 << 19
@@ -129,9 +136,10 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those of the pairs (a, b) whose texts are linked. Each a's text meets b's, which is dealt out to
     several tasks where many pairs have it."""
     texts = texts.select("row", "text")
-    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / CELL).alias("shares")).withColumnRenamed("b", "__b")
-    salted = pairs.join(shares, pairs["b"] == shares["__b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).alias("salt"))
-    salted = stored(salted, "near-salted")
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / SHARE).alias("shares")).where("shares > 1")
+    shares = shares.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    salted = pairs.withColumn("part", F.pmod(F.xxhash64("a", F.lit(SALTS)), F.lit(SALTS))).join(shares, ["b", "part"], "left")
+    salted = salted.select("a", "b", F.pmod(F.xxhash64("a"), F.coalesce("shares", F.lit(1))).alias("salt"))
     left = salted.join(texts.withColumnRenamed("row", "a"), "a").toDF("a", "b", "salt", "text")
     cells = salted.select("b", "salt").distinct()
     right = cells.join(texts.withColumnRenamed("row", "b"), "b").toDF("b", "salt", "text")
@@ -139,35 +147,40 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def rooted(links: DataFrame) -> DataFrame:
-    """(row, root) of the trees that links (a, b) make, each a having one b that comes before it."""
-    at = stored(links.select(F.col("a").alias("row"), F.col("b").alias("root")), "near-trees")
-    while True:
-        up = at.select(F.col("row").alias("root"), F.col("root").alias("next"))
-        at = stored(at.join(up, "root", "left").select("row", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "near-trees")
-        if at.where("moved").isEmpty():
-            return at.select("row", "root")
-        at = at.select("row", "root")
+    """(row, root) of the trees that links (a, b) make, each a having one b that comes before it; stored."""
+    with scratch(links.sparkSession) as keep:
+        at = stored(links.select(F.col("a").alias("row"), F.col("b").alias("root")), "near-trees")
+        while True:
+            up = at.select(F.col("row").alias("root"), F.col("root").alias("next"))
+            held = stored(at.join(up, "root", "left").select("row", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "near-trees")
+            at = held.select("row", "root")
+            if held.where("moved").isEmpty():
+                keep(held)
+                return at
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of an undirected graph (a, b): every node hooks to its first neighbour in a random
-    order, hooked nodes are contracted, until no edge is left."""
-    edges = stored(edges.where("a <> b").select("a", "b").distinct(), "cc-edges")
-    labels, turn = None, 0
-    while not edges.isEmpty():
-        both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c)  # noqa: E731, B023
-        hook = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.when(F.col("m") < rank(F.col("a")), F.col("m.b")).otherwise(F.col("a")).alias("to"))
-        hook = stored(hook, "cc-hook")
+    order, hooked nodes are contracted, until no edge is left. Stored."""
+    with scratch(edges.sparkSession) as keep:
+        edges = stored(edges.where("a <> b").select("a", "b").distinct(), "cc-edges")
+        labels, turn = None, 0
+        while not edges.isEmpty():
+            both = edges.union(edges.select("b", "a"))
+            to = F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")
+            hook = both.groupBy(F.col("a").alias("node")).agg(to)
+            hook = stored(hook.select("node", F.when(F.xxhash64("to", F.lit(turn)) < F.xxhash64("node", F.lit(turn)), F.col("to")).otherwise(F.col("node")).alias("to")), "cc-hook")
+            if labels is None:
+                labels = hook.withColumnRenamed("to", "label")
+            else:  # read when all turns are done: a turn has fewer nodes than the one before
+                labels = labels.join(hook.withColumnsRenamed({"node": "label", "to": "next"}), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            for c in "ab":
+                edges = edges.join(hook.withColumnsRenamed({"node": c, "to": f"{c}2"}), c)
+            edges = stored(edges.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges")
+            turn += 1
         if labels is None:
-            labels = hook.withColumnRenamed("to", "label")
-        else:
-            labels = stored(labels.join(hook.withColumnRenamed("node", "label"), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "cc-labels")
-        for c in "ab":
-            edges = edges.join(hook.withColumnsRenamed({"node": c, "to": f"{c}2"}), c)
-        edges = stored(edges.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges")
-        turn += 1
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+            labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        return keep(stored(labels, "cc-labels"))
 
 
 def _cells(least: float, most: float, every: bool):
@@ -228,66 +241,73 @@ def _cells(least: float, most: float, every: bool):
 
 def between_trees(members: DataFrame, nodes: DataFrame, texts: DataFrame, trees: DataFrame, least: float, most: float, every: bool) -> DataFrame:
     """(a, b, tree_a, tree_b): pairs of nodes in one bucket but different trees that may be linked; all
-    of them, or for each tree the one that agrees most."""
-    spark = members.sparkSession
+    of them, or for each tree the one that agrees most. Made of stored tables of the scope around."""
     at = members.join(trees.withColumnRenamed("root", "tree"), "row", "left").select("bucket", "row", F.coalesce("tree", "row").alias("tree"))
     at = stored(at, "near-buckets")
     shares = at.groupBy("bucket", "tree").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("n", "tree")).alias("largest"), F.sum("n").alias("all"), F.count("*").alias("trees")).where("trees > 1")
-    mixed = stored(mixed.select("bucket", F.col("largest.tree").alias("main"), F.ceil(F.col("all") / CELL).alias("rows"), F.ceil((F.col("all") - F.col("largest.n")) / CELL).alias("cols")), "near-mixed")
-    here = at.join(mixed, "bucket").join(nodes.select("row", "n", "buckets"), "row").join(texts.select("row", "sig"), "row")
+    mixed = stored(mixed.select("bucket", F.col("largest.tree").alias("main"), F.ceil(F.col("all") / CELL).alias("rows"), F.ceil((F.col("all") - F.col("largest.n")) / CELL).alias("cols"), "all"), "near-mixed")
+    here = join_split(at, mixed, "bucket", "all").join(nodes.select("row", "n", "buckets"), "row").join(texts.select("row", "sig"), "row")
     here = here.withColumns({"i": F.pmod(F.xxhash64("row"), F.col("rows")), "j": F.pmod(F.xxhash64("row", F.lit(1)), F.greatest(F.col("cols"), F.lit(1)))})
     keep = ["bucket", "i", "j", "side", "row", "tree", "main", "n", "sig", "buckets"]
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = here.drop("j").withColumn("j", upto("cols")).withColumn("side", F.lit(0)).select(*keep)
     right = here.where("tree <> main").drop("i").withColumn("i", upto("rows")).withColumn("side", F.lit(1)).select(*keep)
-    cells = left.union(right).repartition(4 * parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    cells = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = cells.mapInPandas(_cells(least, most, every), "a long, b long, tree_a long, tree_b long, est double")
     if every:
-        return found
+        return found.repartition("b")  # few pairs, so few files
     best = found.groupBy("tree_b").agg(F.max(F.struct("est", "a", "b", "tree_a")).alias("m")).select("m.a", "m.b", "m.tree_a", "tree_b")
     return best.dropDuplicates(["a", "b"])
 
 
 def merged(trees: DataFrame, links: DataFrame) -> DataFrame:
-    """(row, root) after joining the trees (tree_a, tree_b) of the links."""
-    joined = stored(components(links.select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b"))), "near-joined")
-    below = trees.join(joined.withColumnRenamed("node", "root"), "root", "left").select("row", F.coalesce("label", "root").alias("root"))
-    roots = joined.select(F.col("node").alias("row"), F.col("label").alias("root")).join(trees.select("row"), "row", "left_anti")
-    return stored(below.union(roots), "near-trees")
+    """(row, root) after joining the trees (tree_a, tree_b) of the links; stored."""
+    with scratch(trees.sparkSession) as keep:
+        joined = components(links.select(F.col("tree_a").alias("a"), F.col("tree_b").alias("b")))
+        below = trees.join(joined.withColumnRenamed("node", "root"), "root", "left").select("row", F.coalesce("label", "root").alias("root"))
+        roots = joined.select(F.col("node").alias("row"), F.col("label").alias("root")).join(trees.select("row"), "row", "left_anti")
+        return keep(stored(below.union(roots), "near-trees"))
 
 
 def near_classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs: doc_id, row, content, class_id, class_size, first (whether it is the row
     of its class that stays: the one of the smallest doc_id)."""
-    ship(docs.sparkSession)
-    rows = stored(signed(docs), "near-signed")
-    texts = stored(rows.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("size")), "near-keys")
-    nodes = rows.join(texts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0")
-    buckets = nodes.select("row", F.explode("buckets").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("row").alias("h"), "row")).alias("p")).where("n > 1")
-    members = stored(buckets.join(shared.select("bucket", F.col("p.row").alias("pivot")), "bucket"), "near-members")
-    inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "buckets"), "near-nodes")
-    found = looked_up(inside, docs)
-    again = rows.groupBy("doc_id", "content").count().where("count > 1")  # equal rows are looked up once each
-    texts_of = stored(found if again.isEmpty() else found.dropDuplicates(["row"]), "near-texts")
-    # the pivot that a node shares most buckets with is nearly always the one it is closest to
-    stars = members.where("row <> pivot").groupBy("row", "pivot").count().groupBy("row").agg(F.max(F.struct("count", "pivot")).alias("best")).select(F.col("row").alias("a"), F.col("best.pivot").alias("b"))
-    side = lambda c: inside.join(texts_of.select("row", "sig"), "row").select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
-    stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
-    stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
-    trees = stored(rooted(verified(stars, texts_of)), "near-roots")
-    turns = [(LEAST, 2.0, False), *((least, 2.0 if most == 1.0 else most, True) for most, least in zip(STEPS, STEPS[1:]))]
-    for least, most, every in turns:
-        cross = stored(between_trees(members, inside, texts_of, trees, least, most, every), "near-cross")
-        links = stored(verified(cross.select("a", "b"), texts_of).join(cross, ["a", "b"]), "near-links")
-        if not links.isEmpty():
-            trees = merged(trees, links)
-    label = trees.select(F.col("row").alias("node"), F.col("root").alias("label"))
-    classes = stored(texts.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label")), "near-classes")
-    of = stored(rows.select("key", "row", "doc_id", "content").join(classes, "key").select("row", "doc_id", "content", "label"), "near-rows")
-    heads = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count("*").alias("class_size"))
-    return of.join(heads, "label").select("doc_id", "row", "content", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("head.row") == F.col("row")).alias("first"))
+    spark = docs.sparkSession
+    ship(spark)
+    with scratch(spark) as keep:
+        rows = stored(signed(docs), "near-signed")
+        texts = stored(rows.groupBy("key").agg(F.min("row").alias("node"), F.count("*").alias("size")), "near-keys")
+        nodes = rows.join(texts.select(F.col("node").alias("row")), "row", "left_semi").where("n > 0")
+        buckets = nodes.select("row", F.explode("buckets").alias("bucket"))
+        # longs all: aggregates of structs would be sorted instead of hashed
+        shared = buckets.groupBy("bucket").agg(F.count("*").alias("rows"), F.min_by("row", F.xxhash64("row")).alias("pivot")).where("rows > 1")
+        shared = stored(shared, "near-shared")
+        members = stored(join_split(buckets, shared, "bucket", "rows").select("bucket", "row", "pivot"), "near-members")
+        inside = stored(nodes.join(members.select("row").distinct(), "row", "left_semi").select("row", "doc_id", "content", "n", "buckets"), "near-nodes")
+        found = looked_up(inside, docs)
+        again = rows.groupBy("doc_id", "content").count().where("count > 1")  # equal rows are looked up once each
+        texts_of = stored(found if again.isEmpty() else found.dropDuplicates(["row"]), "near-texts")
+        # the pivot that a node shares most buckets with is nearly always the one it is closest to
+        stars = members.where("row <> pivot").groupBy("row", "pivot").count().groupBy("row").agg(F.max_by("pivot", F.shiftleft("count", 50) + F.shiftrightunsigned(F.xxhash64("pivot"), 14)).alias("b")).withColumnRenamed("row", "a")
+        side = lambda c: inside.join(texts_of.select("row", "sig"), "row").select(F.col("row").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}"))
+        stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
+        stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
+        trees = rooted(verified(stars, texts_of))
+        turns = [(LEAST, 2.0, False), *((least, 2.0 if most == 1.0 else most, True) for most, least in zip(STEPS, STEPS[1:]))]
+        for least, most, every in turns:
+            with scratch(spark) as up:
+                cross = stored(between_trees(members, inside, texts_of, trees, least, most, every), "near-cross")
+                links = stored(verified(cross.select("a", "b"), texts_of).join(cross, ["a", "b"]), "near-links")
+                if not links.isEmpty():
+                    trees = up(merged(trees, links))
+        label = trees.select(F.col("row").alias("node"), F.col("root").alias("label"))
+        classes = stored(texts.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "size"), "near-classes")
+        of = stored(join_split(rows.select("key", "row", "doc_id", "content"), classes, "key", "size").select("row", "doc_id", "content", "label"), "near-rows")
+        heads = of.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("head"), F.count("*").alias("class_size"))
+        heads = stored(heads, "near-heads")
+        keep(of), keep(heads)
+    return join_split(of, heads, "label", "class_size").select("doc_id", "row", "content", F.col("head.doc_id").alias("class_id"), "class_size", (F.col("head.row") == F.col("row")).alias("first"))
 
 
 def near_query(docs: DataFrame) -> DataFrame:
