@@ -8,9 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelog.functions import folds, hashing
-from tidelog.model import LOG, Options, ProtectedResource
-from tidelog.operators import reads, runs
-from tidelog.store import Store
+from tidelog.model import LOG, Options, ProtectedResource, StoreError, as_log, rejected
+from tidelog.operators import compaction, reads, runs
+from tidelog.sources import tables
+from tidelog.sources.tables import events_log, user_key
+from tidelog.store import ShardedStore, Store
+from tidelog.wal import Wal
 
 
 def two_pass(n):
@@ -128,3 +131,144 @@ def test_touching():
 
     files = [{"mn": a, "mx": b} for a, b in (("e", "g"), ("a", "c"), ("c", "d"), ("f", "f"), ("h", "i"))]
     assert [[f["mn"] + f["mx"] for f in g] for g in touching(files)] == [["ac", "cd"], ["eg", "ff"], ["hi"]]
+
+
+def make(spark, rows):
+    return spark.createDataFrame([(s, k, v, "D" if v == "-" else "P", None) for s, k, v in rows], LOG)
+
+
+def test_rejects(spark, tmp_path):
+    bad = spark.createDataFrame([(1, "a", "1", "P", None), (2, None, "2", "P", None), (3, "", "3", "P", None), (4, "b", None, "P", None)], LOG)
+    got = rejected(bad, bad["seq"], bad["k"], bad["v"])
+    assert sorted((r["seq"], r["reason"]) for r in got.collect()) == [(2, "no key"), (3, "empty key"), (4, "no value")]
+    assert as_log(bad, bad["seq"], bad["k"], bad["v"]).count() == 1
+    store = Store(spark, str(tmp_path / "s"), Options())
+    with pytest.raises(Exception, match="RejectedRecord"):
+        store.flush(bad)
+    assert store.versions() == []
+    big = make(spark, [(1, "a", "x" * 200), (2, "b", "y")]).withColumn("shard", F.lit(0))
+    small = Options(memtable_bytes=100)
+    with pytest.raises(Exception, match="RejectedRecord"):
+        runs.memtable_runs(big, small).collect()
+    assert runs.memtable_runs(big, small, rejects="skip").count() == 1 and runs.oversized(big, small).first()["k"] == "a"
+
+
+def test_split_row_by_row(spark):
+    rng = random.Random(2)
+    rows = [(i % 2, f"k{i:05d}", rng.choice([20, 90, 300, 700])) for i in range(3000)]
+    opt = Options(block_bytes=1000, file_bytes=5000)
+    want, state = {}, {}
+    for g, k, z in sorted(rows):
+        used, tracked, file_no, block_no = state.get(g, (2, 1000, 0, 0))
+        if used + z >= 1000:
+            used, tracked, block_no = 2, tracked + 1000, block_no + 1
+        if tracked + z >= 5000:
+            used, tracked, file_no, block_no = 2, 1000, file_no + 1, 0
+        state[g] = (used + z, tracked, file_no, block_no)
+        want[k] = (file_no, block_no)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = compaction.split(spark.createDataFrame(rows, "g long, k string, z long"), ["g"], opt).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert {r["k"]: (r["file_no"], r["block_no"]) for r in got} == want and max(f for f, _ in want.values()) > 20
+
+
+def test_find_files_has_no_nested_loop(spark):
+    rng = random.Random(3)
+    files = [(f"f{i}", *sorted(f"{rng.randrange(1000):04d}" for _ in range(2))) for i in range(60)]
+    keys = [(f"{i:04d}",) for i in range(0, 1100, 7)]
+    meta, asked = spark.createDataFrame(files, "file_id string, mn string, mx string"), spark.createDataFrame(keys, "k string")
+    found = runs.find_files(meta, asked)
+    assert {(r["k"], r["file_id"]) for r in found.collect()} == {(k, f) for (k,) in keys for f, a, b in files if a <= k <= b}
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
+    for closed in (True, False):
+        got = [(r["a_id"], r["b_id"]) for r in runs.overlaps(meta, meta, closed).collect()]
+        assert sorted(got) == sorted((f, g) for f, a, b in files for g, c, d in files if (a <= d and c <= b if closed else a < d and c < b))
+
+
+def test_key_range_reaches_the_scan(spark):
+    log = reads.get(events_log(spark, "/root/testdata/sf0.001", "user:000007", "user:000007"), "user:000007")
+    assert "GreaterThanOrEqual(user_id,7)" in log._jdf.queryExecution().toString()
+    odd = spark.createDataFrame([(-5,), (3,), (999_999,), (1_234_567,)], "u long")
+    keys = {r["u"]: r["k"] for r in odd.select("u", user_key(odd["u"]).alias("k")).collect()}
+    assert keys == {-5: "user:0000-5", 3: "user:000003", 999_999: "user:999999", 1_234_567: "user:123456"}  # so ids of other widths are always read
+
+
+def test_wal_after_a_crash(spark, tmp_path):
+    opt = Options(wal_buffer_bytes=200, wal_segment_bytes=600)
+    log = make(spark, [(i, f"k{i % 40}", f"värde{i}") for i in range(1, 301)]).withColumn("shard", F.col("seq") % 2)
+    path = str(tmp_path / "w")
+    wal = Wal(spark, path, opt)
+    wal.append(log.where("seq <= 150"))
+    wal.append(log.where("seq > 150"))
+    key = lambda df: sorted((r["seq"], r["k"], r["v"]) for r in df.collect())
+    again = Wal(spark, path, opt)  # not closed
+    assert not again.clean and again.meta == wal.meta and key(again.replay()) == key(log)
+    again.close()
+    wal.files.write(f"{path}/metadata.json", '{"appends": "x"')
+    third = Wal(spark, path, opt)
+    assert not third.clean and third.meta == wal.meta
+    assert third.truncate(150) == 1 and key(third.replay()) == key(log.where("seq > 150"))
+    empty = Wal(spark, str(tmp_path / "none"), opt)
+    assert empty.replay().count() == 0 and empty.truncate(9) == 0
+
+
+def test_persistent_100(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Options())
+    store.flush(make(spark, [(i + 1, f"mkey{i}", f"mvalue{i}") for i in range(100)]))
+    store.close()
+    with pytest.raises(StoreError):
+        store.flush(make(spark, [(101, "a", "b")]))
+    again = Store(spark, str(tmp_path / "s"), Options())
+    asked = spark.createDataFrame([(f"mkey{i}",) for i in range(120)], "k string")
+    assert {r["k"]: r["v"] for r in again.multi_get(asked).collect()} == {f"mkey{i}": f"mvalue{i}" if i < 100 else None for i in range(120)}
+    assert again.read_length("mkey7").first()["length"] == 7
+
+
+def test_filters_prune_files(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"), Options(level0_files=1))
+    store.flush(make(spark, [(i + 1, f"a{i:04d}", "x") for i in range(0, 400, 2)]))
+    store.flush(make(spark, [(i + 1000, f"a{i:04d}", "y") for i in range(1, 400, 2)]))
+    asked = spark.createDataFrame([(f"a{i:04d}",) for i in range(0, 400, 40)], "k string")
+    pairs = store.may_hold(asked)
+    assert pairs.select("k").distinct().count() == 10 and pairs.count() < 14  # ranges alone would give 20
+    assert store.locate(asked).select("k").distinct().count() == 10
+    store.compact()
+    assert store.may_hold(asked).count() == 10 and store.multi_get(asked).where("v = 'x'").count() == 10
+    assert store.vacuum(store.versions()[-1]) > 0 and store.multi_get(asked).where("v = 'x'").count() == 10
+
+
+def test_sharded_store(spark, tmp_path):
+    store = ShardedStore(spark, str(tmp_path / "s"), 3, Options(level0_files=1))
+    rows = [(i + 1, f"k{i % 50}", f"v{i}") for i in range(120)]
+    store.flush(make(spark, rows[:80]))
+    store.flush(make(spark, rows[80:]))
+    store.compact()
+    want = {k: v for _, k, v in rows}
+    assert {r["k"]: r["v"] for r in store.scan().collect()} == want
+    assert store.get("k7").first()["v"] == want["k7"] and store.multi_get(spark.createDataFrame([("k1",), ("no",)], "k string")).where("found").count() == 1
+    store.close()
+
+
+def test_logs_of_any_format(spark, tmp_path):
+    log = make(spark, [(1, "a", "1"), (2, "b", "-")])
+    for fmt in ("parquet", "orc", "json", "csv"):
+        tables.write_log(log, str(tmp_path / fmt), fmt)
+        assert sorted((r["seq"], r["k"], r["op"]) for r in tables.read_log(spark, str(tmp_path / fmt), fmt).collect()) == [(1, "a", "P"), (2, "b", "D")]
+
+
+def test_codec_and_dictionary(spark):
+    from tidelog import codec, compression
+
+    held = b"\x02\x00" + b"\x01\x00a\x02\x00bc" + b"\x03\x00def\x00\x00"
+    assert codec.read_block(held) == ([[b"a", b"bc"], [b"def", b""]], len(held))
+    assert codec.read_block(held[:-1]) == ([[b"a", b"bc"]], 9) and codec.read_block(b"\x01") == ([], 0)
+    rows = runs.with_size(make(spark, [(i, f"http://example.org/page/{i:05d}", f"the same words over and over, and {i}") for i in range(3000)])).withColumn("f", F.lit(1))
+    raw = runs.payloads(runs.with_blocks(rows, ["f"], Options(block_bytes=500)), ["f"]).cache()
+    dictionary = compression.train(raw, "payload", ["block_id"])
+    size = lambda df: df.agg(F.sum(F.octet_length("payload"))).first()[0]
+    packed = compression.compressed(raw, "payload", dictionary)
+    assert dictionary and size(packed) < 0.7 * size(compression.compressed(raw, "payload")) < size(raw)
+    assert sorted(compression.decompressed(packed, "payload", dictionary).collect()) == sorted(raw.collect())
+    assert runs.with_size(make(spark, [(1, "k" * 70000, "v")])).select(codec.record(F.col("k"), F.col("v"))).first()[0] is None

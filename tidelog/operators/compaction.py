@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,25 @@ def touching(files: list[dict]) -> list[list[dict]]:
     return out
 
 
+def jobs(plan: DataFrame) -> DataFrame:
+    """The jobs of a plan (a row a file of due levels) that can run together, with their place in the queue:
+    lowest level first, then by victim; at most one of level 0, and none that has a file of one before it."""
+    schema = "place long, victim string, start_level long, end_level long, inputs string, trivial boolean"
+
+    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
+        taken, out, zero = set(), [], False
+        for r in rows.sort_values(["start_level", "victim"]).itertuples(index=False):
+            files = {r.victim, *filter(None, r.inputs.split(","))}
+            if files & taken or (zero and r.start_level == 0):
+                continue
+            taken |= files
+            zero = zero or r.start_level == 0
+            out.append((len(out), r.victim, r.start_level, r.end_level, r.inputs, r.trivial))
+        return pd.DataFrame(out, columns=["place", "victim", "start_level", "end_level", "inputs", "trivial"])
+
+    return plan.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chosen, schema)  # manifest rows
+
+
 def merge(rows: DataFrame, bottom: bool) -> DataFrame:
     """Merges files (k, v, seq, newest of the file): the version in the newest file wins, of one file the
     greatest seq. Deletions go only where no deeper level can hold the key."""
@@ -69,21 +89,38 @@ def split(merged: DataFrame, by: list[str], opt: Options) -> DataFrame:
     schema = T.StructType([*merged.schema.fields, T.StructField("file_no", T.LongType()), T.StructField("block_no", T.LongType())])
     block, limit = opt.block_bytes, opt.file_bytes
 
+    def cut(z: np.ndarray, state: list[int], files: np.ndarray, blocks: np.ndarray) -> None:
+        """One group's sizes, block by block: a block ends by a search in the running sums."""
+        used, tracked, file_no, block_no = state
+        total, at = np.concatenate([[0], np.cumsum(z)]), 0
+        while at < len(z):
+            end = int(np.searchsorted(total[at + 1 :] - total[at], block - used, side="left")) + at  # opens the next block
+            rolls = np.flatnonzero(z[at:end] >= limit - tracked)
+            stop = at + int(rolls[0]) if len(rolls) else end
+            files[at:stop], blocks[at:stop] = file_no, block_no
+            used += int(total[stop] - total[at])
+            if stop == len(z):
+                break
+            if stop == end:
+                used, tracked, block_no = 2, tracked + block, block_no + 1
+            if tracked + z[stop] >= limit:
+                used, tracked, file_no, block_no = 2, block, file_no + 1, 0
+            files[stop], blocks[stop] = file_no, block_no
+            used, at = used + int(z[stop]), stop + 1
+        state[:] = used, tracked, file_no, block_no
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, used, tracked, file_no, block_no = None, 2, block, 0, 0
+        last, state = None, []
         for rows in batches:
-            keys = map(tuple, rows[by].itertuples(index=False))
-            files, blocks = [], []
-            for key, z in zip(keys, rows["z"].tolist()):
-                if key != last:
-                    last, used, tracked, file_no, block_no = key, 2, block, 0, 0
-                if used + z >= block:
-                    used, tracked, block_no = 2, tracked + block, block_no + 1
-                if tracked + z >= limit:
-                    used, tracked, file_no, block_no = 2, block, file_no + 1, 0
-                used += z
-                files.append(file_no)
-                blocks.append(block_no)
+            if not len(rows):
+                continue
+            keys = rows[by].to_numpy()
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(rows)]
+            files, blocks, z = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64), rows["z"].to_numpy(np.int64)
+            for lo, hi in zip(edges, edges[1:]):
+                if tuple(keys[lo]) != last:
+                    last, state = tuple(keys[lo]), [2, block, 0, 0]
+                cut(z[lo:hi], state, files[lo:hi], blocks[lo:hi])
             yield rows.assign(file_no=files, block_no=blocks)
 
     return merged.repartition(*by).sortWithinPartitions(*by, "k").mapInPandas(run, schema)

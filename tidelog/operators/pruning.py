@@ -4,34 +4,98 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BITS_PER_KEY, HASHES, WORD = 10, 2, 32768
+from ..functions.hashing import fnv1a_64, murmur3_32
 
+#: Bits a key and hashes of a filter at flush, hashes and 64-bit words of one at compaction, the
+#: first seed; bits and probes of a bucket of the blocked kind.
+BITS_PER_KEY, HASHES, SEED = 10, 2, 51
+COMPACTED_HASHES, COMPACTED_WORDS = 10, 2000
+BUCKET_BITS, PROBES = 512, 8
+#: Bits that a row of a filter holds.
+WORD = 32768
 
-def _places(key: Column, bits: Column) -> Column:
-    return F.array(*[F.pmod(F.xxhash64(key, F.lit(51 + i)), bits) for i in range(HASHES)])
 
+def hashes(key: Column, n: int = HASHES) -> Column:
+    """MurmurHash3 of the key under n seeds from SEED on."""
 
-def run_blooms(files: DataFrame, by: list[str], bits_per_key: int = BITS_PER_KEY) -> DataFrame:
-    """Per run a bitmap of bits_per_key bits a key, in words of 4 KB: (by, bits, word, map). Empty keys are in
-    no filter."""
-    sizes = files.groupBy(*by).agg((F.count("*") * bits_per_key).alias("bits"))
-    hits = files.where("k <> ''").join(sizes, by).select(*by, "bits", F.explode(_places(F.col("k"), F.col("bits"))).alias("at"))
-    return hits.groupBy(*by, "bits", F.floor(F.col("at") / WORD).alias("word")).agg(F.bitmap_construct_agg(F.col("at") % WORD).alias("map"))
+    @F.pandas_udf("array<long>")
+    def run(keys: pd.Series) -> pd.Series:
+        held = [k.encode() for k in keys]
+        grid = np.stack([murmur3_32(held, SEED + i).astype(np.int64) for i in range(n)], axis=1) if held else np.empty((0, n), np.int64)
+        return pd.Series(list(grid))
 
+    return run(key)
 
-def may_contain(blooms: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
-    """asked (by, k) and `maybe`: false means that the run surely lacks the key."""
+
+def bits_for(n: Column) -> Column:
+    """Bits of a filter of n keys, whole 64-bit words."""
+    return F.ceil(n * BITS_PER_KEY / 64).cast("long") * 64
+
+
+def _places(df: DataFrame, n: int) -> DataFrame:
+    """df (k, bits) with a row for each bit of the key: word and bit in the word."""
+    at = df.withColumn("h", hashes(F.col("k"), n)).withColumn("at", F.explode(F.transform("h", lambda h: F.pmod(h, F.col("bits")))))
+    return at.withColumns({"word": F.floor(F.col("at") / WORD), "bit": F.col("at") % WORD}).drop("h", "at")
+
+
+def run_blooms(files: DataFrame, by: list[str], n: int = HASHES) -> DataFrame:
+    """Per run a bitmap, in words of 4 KB: (by, bits, word, map). Empty keys are in no filter."""
+    sizes = files.groupBy(*by).agg(bits_for(F.count("*")).alias("bits"))
+    hits = _places(files.where("k <> ''").select(*by, "k").join(sizes, by), n)
+    return hits.groupBy(*by, "bits", "word").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+
+def compacted_blooms(files: DataFrame, by: list[str]) -> DataFrame:
+    """The same of files that compaction writes: a fixed size, more hashes."""
+    hits = _places(files.where("k <> ''").select(*by, "k").withColumn("bits", F.lit(64 * COMPACTED_WORDS).cast("long")), COMPACTED_HASHES)
+    return hits.groupBy(*by, "bits", "word").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+
+def is_set(bitmap: Column, bit: Column) -> Column:
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.when(bitmap.isNull(), 0).otherwise(F.getbit(byte, (bit % 8).cast("int")))
+
+
+def may_contain(blooms: DataFrame, asked: DataFrame, by: list[str], n: int = HASHES) -> DataFrame:
+    """asked (by, k) and `maybe`: false means that the run surely lacks the key. An empty key is in no run."""
     sizes = blooms.select(*by, "bits").distinct()
-    places = asked.join(sizes, by).select(*by, "k", F.explode(_places(F.col("k"), F.col("bits"))).alias("at"))
-    places = places.withColumns({"word": F.floor(F.col("at") / WORD), "bit": F.col("at") % WORD})
+    places = _places(asked.where("k <> ''").select(*by, "k").join(sizes, by), n)
     met = places.join(blooms.drop("bits"), [*by, "word"], "left")
-    byte = F.conv(F.hex(F.substring("map", (F.floor(F.col("bit") / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    found = F.when(F.col("map").isNull(), 0).otherwise(F.getbit(byte, (F.col("bit") % 8).cast("int")))
-    return met.groupBy(*by, "k").agg((F.min(found) == 1).alias("maybe"))
+    return met.groupBy(*by, "k").agg((F.min(is_set(F.col("map"), F.col("bit"))) == 1).alias("maybe"))
+
+
+def blocked_places(key: Column, buckets: Column) -> Column:
+    """(bucket, probes) of a blocked filter: one bucket of BUCKET_BITS a key, so that a look-up reads one cache
+    line, and PROBES bits in it from further bits of the key's FNV-1a."""
+
+    @F.pandas_udf("struct<bucket:long,probes:array<long>>")
+    def run(keys: pd.Series, n: pd.Series) -> pd.DataFrame:
+        h = fnv1a_64([k.encode() for k in keys])
+        probes = np.stack([(h >> np.uint64(7 * i)).astype(np.uint64) % np.uint64(BUCKET_BITS) for i in range(PROBES)], axis=1).astype(np.int64)
+        return pd.DataFrame({"bucket": (h % n.to_numpy(np.uint64)).astype(np.int64), "probes": list(probes)})
+
+    return run(key, buckets)
+
+
+def blocked_blooms(files: DataFrame, by: list[str], bits_per_key: int = BITS_PER_KEY) -> DataFrame:
+    """(by, buckets, bucket, map): a bitmap a bucket that has a key."""
+    sizes = files.groupBy(*by).agg(F.ceil(F.count("*") * bits_per_key / BUCKET_BITS).alias("buckets"))
+    at = files.where("k <> ''").select(*by, "k").join(sizes, by).withColumn("p", blocked_places(F.col("k"), F.col("buckets")))
+    hits = at.select(*by, "buckets", F.col("p.bucket").alias("bucket"), F.explode("p.probes").alias("bit"))
+    return hits.groupBy(*by, "buckets", "bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+
+def blocked_may_contain(blooms: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """asked (by, k) and `maybe`, from one bucket a key."""
+    sizes = blooms.select(*by, "buckets").distinct()
+    at = asked.where("k <> ''").select(*by, "k").join(sizes, by).withColumn("p", blocked_places(F.col("k"), F.col("buckets")))
+    met = at.withColumn("bucket", F.col("p.bucket")).join(blooms.drop("buckets"), [*by, "bucket"], "left")
+    return met.select(*by, "k", F.forall("p.probes", lambda b: is_set(F.col("map"), b) == 1).alias("maybe"))
 
 
 def clock_cache(trace: DataFrame, group: list[str], order: list[str], page: str, frames: int) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.fences import slots
 from ..model import TOMBSTONE
 
 
@@ -64,15 +65,22 @@ def seek(log: DataFrame, key: str, n: int) -> DataFrame:
     return first.withColumn("pos", F.row_number().over(Window.orderBy("k")))
 
 
-def ordered(rows: DataFrame, prefix: int = 9) -> DataFrame:
-    """rows with `pos`, their place in key order. Places come from counts per key prefix and ranks within
-    it, so no task sees all rows."""
-    p = F.substring("k", 1, prefix)
-    rows = rows.withColumn("__p", p)
+#: Keys that are read for each slot of an ordered scan, to place its fences.
+PER_SLOT = 32
+
+
+def ordered(rows: DataFrame, parts: int | None = None) -> DataFrame:
+    """rows (of unique keys) with `pos`, their place in key order. Fences cut the keys into about `parts`
+    slots; places come from counts per slot and ranks within it, so no task sees all rows. The fences come
+    from PER_SLOT keys a slot, those of the least hash; any fences give the same places."""
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted(r["k"] for r in rows.select("k").orderBy(F.xxhash64("k"), "k").limit(parts * PER_SLOT).collect())
+    rows = rows.withColumn("__p", slots(drawn[PER_SLOT // 2 :: PER_SLOT])(F.col("k")))
     counts = rows.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
+    before = counts.withColumn("__before", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")  # a row a slot
     own = rows.withColumn("__own", F.row_number().over(Window.partitionBy("__p").orderBy("k")))
-    return own.join(before, "__p").withColumn("pos", F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
+    return own.join(F.broadcast(before), "__p").withColumn("pos", F.col("__own") + F.col("__before")).drop("__p", "__own", "__before")
 
 
 def merge_sources(sources: DataFrame) -> DataFrame:

@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..codec import block, record
+from ..functions.fences import slots
 from ..functions.folds import Rule, fold
-from ..model import Options, record_bytes
+from ..functions.hashing import routed
+from ..model import Options, RejectedRecord, StoreError, record_bytes
 from .reads import newest
 
+#: Ends of key ranges that one look-up sends to tasks.
+MAX_FENCES = 2_000_000
+
 
 def sharded(log: DataFrame, n: int) -> DataFrame:
-    """Each shard is a log of its own; here by the key's checksum, so one key stays in one shard."""
-    return log.withColumn("shard", (F.crc32(F.col("k").cast("binary")) % n).cast("int"))
+    """Each shard is a log of its own: by the key's FNV-1a, so one key stays in one shard."""
+    return log.withColumn("shard", routed(F.col("k"), n))
 
 
 def with_size(log: DataFrame) -> DataFrame:
     return log.withColumn("z", record_bytes(F.col("k"), F.col("v")).cast("long"))
 
 
-def memtable_runs(log: DataFrame, opt: Options) -> DataFrame:
-    """log (with shard) and run_id: a run ends before the record that would fill the memtable. Records
-    that no memtable can hold are rejected."""
-    rows = with_size(log).where(F.col("z") < opt.memtable_bytes)
+def oversized(log: DataFrame, opt: Options) -> DataFrame:
+    """Records that no memtable can hold, with the reason."""
+    return with_size(log).where(F.col("z") >= opt.memtable_bytes).withColumn("reason", F.lit("too large"))
+
+
+def memtable_runs(log: DataFrame, opt: Options, rejects: str = "error") -> DataFrame:
+    """log (with shard) and run_id: a run ends before the record that would fill the memtable. A record that
+    no memtable can hold is an error, raised when it is met; with rejects="skip" the caller has taken
+    oversized() and such records are left out."""
+    rows = with_size(log)
+    if rejects == "skip":
+        rows = rows.where(F.col("z") < opt.memtable_bytes)
+    else:
+        told = F.concat(F.lit(f"{RejectedRecord.__name__}: too large for a memtable: "), F.col("k"))
+        rows = rows.withColumn("z", F.when(F.col("z") < opt.memtable_bytes, F.col("z")).otherwise(F.raise_error(told).cast("long")))
     return fold(rows, ["shard"], ["seq"], "z", Rule(opt.memtable_bytes), "run_id")
 
 
@@ -45,6 +64,20 @@ def block_index(blocks: DataFrame, by: list[str]) -> DataFrame:
     return blocks.groupBy(*by, "block_id").agg(F.min("k").alias("min_key"), F.count("*").alias("num_keys"), (F.sum("z") + 2).alias("len"))
 
 
+def payloads(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """(by, block_id, payload): each block's records as bytes, in key order."""
+    recs = blocks.groupBy(*by, "block_id").agg(F.array_sort(F.collect_list(F.struct("k", record(F.col("k"), F.col("v")).alias("r")))).alias("r"))  # a block's
+    return recs.select(*by, "block_id", block(F.transform("r", lambda x: x["r"])).alias("payload"))
+
+
+def paged(index: DataFrame, by: list[str], page: int) -> DataFrame:
+    """Blocks laid end to end in pages: the page that each starts in (its header), those it fills, the one it
+    ends in."""
+    before = F.coalesce(F.sum("len").over(Window.partitionBy(*by).orderBy("block_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = index.withColumn("start", before).withColumns({"header": F.floor(F.col("start") / page), "end": F.floor((F.col("start") + F.col("len") - 1) / page)})
+    return at.select(*by, "block_id", "header", "end", F.greatest(F.lit(0).cast("long"), F.col("end") - F.col("header") - 1).alias("middle"))
+
+
 def block_checksums(blocks: DataFrame, by: list[str]) -> DataFrame:
     """CRC-32 of each block's records in key order."""
     rows = blocks.groupBy(*by, "block_id").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("r"))
@@ -69,27 +102,70 @@ def find_block(index: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
     return both.where("asked = 1").select(*by, "k", F.coalesce("block_id", F.lit(0).cast("long")).alias("block_id"))
 
 
-def find_files(meta: DataFrame, keys: DataFrame, width: int = 11) -> DataFrame:
-    """(k, file columns) with mn <= k <= mx. Ranges are cut at key prefixes, so that the join has an
-    equality: a file lists the prefixes between its fences that any key asked has."""
-    p = F.substring("k", 1, width)
-    known = keys.select(p.alias("p")).distinct()
-    cover = meta.join(known, (F.substring("mn", 1, width) <= known["p"]) & (known["p"] <= F.substring("mx", 1, width)))
-    return keys.withColumn("p", p).join(cover, "p").where((F.col("mn") <= F.col("k")) & (F.col("k") <= F.col("mx"))).drop("p")
+def fences_of(*metas: DataFrame) -> list[str]:
+    """All ends of key ranges, sorted. Manifests have a row a file and are read by the driver anyway; what is
+    sent to tasks is one key an end, MAX_FENCES at most."""
+    ends = [m.select(F.explode(F.array("mn", "mx")).alias("k")) for m in metas]
+    rows = reduce(DataFrame.union, ends).distinct().limit(MAX_FENCES + 1).collect()
+    if len(rows) > MAX_FENCES:
+        raise StoreError(f"more than {MAX_FENCES} ends of key ranges")
+    return sorted(r["k"] for r in rows if r["k"] is not None)
 
 
-def overlaps(a: DataFrame, b: DataFrame, closed: bool) -> DataFrame:
-    """Pairs of files (a_id, b_id) whose key ranges overlap; touching ends count only if closed. Both sides
-    are manifests: rows per file, not per record."""
-    x = a.select(F.col("file_id").alias("a_id"), F.col("mn").alias("a_mn"), F.col("mx").alias("a_mx"))
-    y = b.select(F.col("file_id").alias("b_id"), F.col("mn").alias("b_mn"), F.col("mx").alias("b_mx"))
-    on = (x["a_mn"] <= y["b_mx"]) & (y["b_mn"] <= x["a_mx"]) if closed else (x["a_mn"] < y["b_mx"]) & (y["b_mn"] < x["a_mx"])
-    return x.join(y, on).select("a_id", "b_id")
+def _covering(meta: DataFrame, slot) -> DataFrame:
+    """meta with a row for each slot between its ends, and `first`, the slot of its least key."""
+    ranged = meta.withColumns({"first": slot(F.col("mn")), "last": slot(F.col("mx"))})
+    return ranged.withColumn("slot", F.explode(F.sequence("first", "last"))).drop("last")
 
 
-def replay(log: DataFrame) -> DataFrame:
-    """State after a crash: what the log says."""
-    return newest(log)
+def find_files(meta: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, file columns) with mn <= k <= mx. The ends of all ranges cut the keys into slots; a file lists its
+    slots, which are few where files overlap little, and a key has one, so the join has an equality."""
+    slot = slots(fences_of(meta))
+    met = keys.withColumn("slot", slot(F.col("k"))).join(_covering(meta, slot).drop("first"), "slot")
+    return met.where((F.col("mn") <= F.col("k")) & (F.col("k") <= F.col("mx"))).drop("slot")
+
+
+def overlaps(a: DataFrame, b: DataFrame, closed: bool) -> DataFrame:
+    """Pairs of files (a_id, b_id) whose key ranges overlap; touching ends count only if closed. They share
+    slots between ends, and a pair comes from the first that it shares."""
+    slot = slots(fences_of(a, b))
+    x, y = (_covering(t.select(F.col("file_id").alias(f"{n}_id"), "mn", "mx"), slot).withColumnsRenamed({"mn": f"{n}_mn", "mx": f"{n}_mx", "first": f"{n}_first"}) for t, n in ((a, "a"), (b, "b")))
+    met = x.join(y, "slot").where(F.col("slot") == F.greatest("a_first", "b_first"))
+    if not closed:
+        met = met.where((F.col("a_mn") < F.col("b_mx")) & (F.col("b_mn") < F.col("a_mx")))
+    return met.where((F.col("a_mn") <= F.col("b_mx")) & (F.col("b_mn") <= F.col("a_mx"))).select("a_id", "b_id")
+
+
+def index_partitions(index: DataFrame, by: list[str], blocks: int) -> DataFrame:
+    """A two-level index: (by, part_id, min_fence, blocks), of so many neighbouring blocks of a file each."""
+    part = index.withColumn("part_id", F.floor(F.col("block_id") / blocks))
+    held = F.array_sort(F.collect_list(F.struct("min_key", "block_id", "num_keys", "len")))  # `blocks` of them
+    return part.groupBy(*by, "part_id").agg(F.min("min_key").alias("min_fence"), held.alias("blocks"))
+
+
+def find_in_partitions(parts: DataFrame, asked: DataFrame, by: list[str]) -> DataFrame:
+    """(by, k, part_id, block_id): the partition by its fence, then the block in it."""
+    fences = parts.select(*by, F.col("min_fence").alias("min_key"), F.col("part_id").alias("block_id"))
+    at = find_block(fences, asked, by).withColumnRenamed("block_id", "part_id").join(parts.drop("min_fence"), [*by, "part_id"])
+    below = F.filter("blocks", lambda x: x["min_key"] <= F.col("k"))
+    found = F.coalesce(F.element_at(F.filter(below, lambda x: x["min_key"] == F.array_max(F.transform(below, lambda y: y["min_key"]))), 1), F.element_at("blocks", 1))
+    return at.select(*by, "k", "part_id", found["block_id"].alias("block_id"))
+
+
+def fetch(blocks: DataFrame, at: DataFrame, by: list[str]) -> DataFrame:
+    """For keys located in blocks (by, block_id, k): the block's size, and the key's place in it and value, null
+    if the block doesn't have it."""
+    place = Window.partitionBy(*by, "block_id").orderBy("k")
+    held = blocks.select(*by, "block_id", "k", "v", (F.row_number().over(place) - 1).alias("place"), F.count("*").over(Window.partitionBy(*by, "block_id")).alias("num_keys"))
+    sizes = held.select(*by, "block_id", "num_keys").distinct()
+    return at.select(*by, "block_id", "k").join(sizes, [*by, "block_id"]).join(held.drop("num_keys"), [*by, "block_id", "k"], "left")
+
+
+def physically_deleted(log: DataFrame, keys: DataFrame) -> DataFrame:
+    """log less the newest version of each of the keys: what was below it is seen again."""
+    first = newest(log.join(keys.select("k").distinct(), "k", "left_semi")).select("k", "seq")
+    return log.join(first, ["k", "seq"], "left_anti")
 
 
 def wal(log: DataFrame, opt: Options) -> DataFrame:

@@ -6,16 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import TOMBSTONE
+from .reads import live
 
 
 def as_of(log: DataFrame, seq: int) -> DataFrame:
     """Live state after the write seq; the filter on seq reaches the scan."""
-    return as_of_column(log.where(F.col("seq") <= seq))
-
-
-def as_of_column(log: DataFrame) -> DataFrame:
-    n = log.groupBy("k").agg(F.max(F.struct("seq", "v")).alias("n")).select("k", "n.seq", "n.v")
-    return n.where(F.col("v") != TOMBSTONE)
+    return live(log.where(F.col("seq") <= seq))
 
 
 def diff(log: DataFrame, old: int, new: int) -> DataFrame:

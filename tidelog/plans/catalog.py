@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import codec, compression
 from ..functions.folds import Rule, fold_sql
 from ..functions.hashing import cache_shard, routed
-from ..model import Options
+from ..model import Options, rejected
 from ..operators import compaction, pruning, reads, runs, snapshots
 from ..sources.tables import conversations_log, customer_keys, events_log, orders_log, table
+from ..store import ShardedStore, Store
 from ..streaming import upsert
+from ..wal import Wal, scratch
 
 #: Small sizes, so that modest inputs have several runs, blocks and files.
 OPT = Options(memtable_bytes=32 * 1024, block_bytes=4096, file_bytes=64 * 1024, level0_bytes=100 * 1024, wal_segment_bytes=32 * 1024)
@@ -61,10 +61,10 @@ def _(spark, sf):
 
 @query("kv_get", f"WITH {NEWEST} SELECT k, seq, v FROM live WHERE k = 'user:000007'")
 def _(spark, sf):
-    return reads.get(events_log(spark, sf), "user:000007")
+    return reads.get(events_log(spark, sf, "user:000007", "user:000007"), "user:000007")
 
 
-@query("kv_multi_get", f"""WITH {NEWEST}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_mktsegment = 'BUILDING')
+@query("kv_multi_get", f"""WITH {NEWEST}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_custkey IS NOT NULL)
 SELECT a.k, l.v, l.v IS NOT NULL AS found FROM asked a LEFT JOIN live l ON l.k = a.k""")
 def _(spark, sf):
     return reads.multi_get(events_log(spark, sf), customer_keys(spark, sf))
@@ -72,7 +72,7 @@ def _(spark, sf):
 
 @query("kv_scan_range", f"WITH {NEWEST} SELECT k, seq, v FROM live WHERE k >= 'user:000010' AND k < 'user:000050'")
 def _(spark, sf):
-    return reads.scan(events_log(spark, sf), "user:000010", "user:000050")
+    return reads.scan(events_log(spark, sf, "user:000010", "user:000050"), "user:000010", "user:000050")
 
 
 @query("kv_scan_prefix", f"WITH {NEWEST} SELECT k, seq, v FROM live WHERE starts_with(k, 'user:00001')")
@@ -176,14 +176,18 @@ def _(spark, sf):
     return runs.block_index(runs.with_blocks(_orders(spark, sf), ["shard"], OPT), ["shard"])
 
 
-ASKED = "asked AS (SELECT DISTINCT (l_orderkey % 4)::BIGINT AS shard, 'order:' || lpad(l_orderkey::VARCHAR, 9, '0') AS k FROM lineitem WHERE l_linenumber = 1 AND l_orderkey IS NOT NULL)"
+ASKED = "asked AS (SELECT DISTINCT (l_orderkey % 4)::BIGINT AS shard, 'order:' || lpad(l_orderkey::VARCHAR, 9, '0') AS k FROM lineitem WHERE l_orderkey IS NOT NULL)"
+
+
+def _asked(spark, sf):
+    line = table(spark, sf, "lineitem").where("l_orderkey IS NOT NULL")
+    return line.select((F.col("l_orderkey") % 4).alias("shard"), F.concat(F.lit("order:"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("k")).distinct()
 
 
 @query("block_lookup_asof", f"WITH RECURSIVE {INDEX}, {ASKED} SELECT a.shard, a.k, coalesce(i.block_id, 0) AS block_id FROM asked a ASOF LEFT JOIN idx i ON a.shard = i.shard AND a.k >= i.min_key")
 def _(spark, sf):
     index = runs.block_index(runs.with_blocks(_orders(spark, sf), ["shard"], OPT), ["shard"])
-    asked = table(spark, sf, "lineitem").where("l_linenumber = 1 AND l_orderkey IS NOT NULL").select((F.col("l_orderkey") % 4).alias("shard"), F.concat(F.lit("order:"), F.lpad(F.col("l_orderkey").cast("string"), 9, "0")).alias("k")).distinct()
-    return runs.find_block(index, asked, ["shard"])
+    return runs.find_block(index, _asked(spark, sf), ["shard"])
 
 
 META = FLUSHED + ", meta AS (SELECT shard::VARCHAR || '/' || run_id::VARCHAR AS file_id, shard, run_id, min(k) AS mn, max(k) AS mx, count(*) AS n, sum(z)::BIGINT AS bytes, max(seq) AS newest FROM flushed GROUP BY shard, run_id)"
@@ -194,7 +198,7 @@ def _meta(spark, sf):
     return meta.withColumn("file_id", F.concat_ws("/", F.col("shard").cast("string"), F.col("run_id").cast("string")))
 
 
-@query("sst_lookup", f"""WITH RECURSIVE {META}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_mktsegment = 'BUILDING'),
+@query("sst_lookup", f"""WITH RECURSIVE {META}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_custkey IS NOT NULL),
 hit AS (SELECT a.k, m.file_id, m.shard, m.run_id FROM asked a JOIN meta m ON a.k BETWEEN m.mn AND m.mx)
 SELECT h.k, count(*) AS touched, count(f.k) AS hits FROM hit h LEFT JOIN flushed f ON f.shard = h.shard AND f.run_id = h.run_id AND f.k = h.k GROUP BY h.k""")
 def _(spark, sf):
@@ -280,20 +284,167 @@ def _(spark, sf):
     return compaction.amplification(_flushed(spark, sf), events(spark, sf))
 
 
-@query("block_checksum")
+def _bytes(text: str, kind: str = "BIGINT") -> str:
+    """A list of the bytes of an ASCII text."""
+    return f"list_transform(string_split({text}, ''), lambda x: ord(x)::{kind})"
+
+
+CRC = f"""tab AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i::BIGINT], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+body AS (SELECT shard, block_id, string_agg(k || '=' || v, chr(10) ORDER BY k) AS body, count(*)::INTEGER AS num_keys FROM blocks GROUP BY shard, block_id),
+sums AS (SELECT shard, block_id, num_keys, xor(list_reduce(list_concat([4294967295::BIGINT], {_bytes("body")}), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1])), 4294967295) AS checksum FROM body, tab)"""
+
+
+def _blocks(spark, sf):
+    return runs.with_blocks(_orders(spark, sf), ["shard"], OPT)
+
+
+@query("block_checksum", f"WITH RECURSIVE {BLOCKS}, {CRC} SELECT shard, block_id, checksum, num_keys FROM sums")
 def _(spark, sf):
-    return runs.block_checksums(runs.with_blocks(_orders(spark, sf), ["shard"], OPT), ["shard"])
+    return runs.block_checksums(_blocks(spark, sf), ["shard"])
 
 
-@query("bloom_prune")
+@query("block_verify", f"WITH RECURSIVE {BLOCKS} SELECT DISTINCT shard, block_id FROM blocks WHERE (block_id + shard) % 3 = 1")
 def _(spark, sf):
-    """Per key asked and run: whether the filter lets it pass, and whether the run has it."""
-    flushed = _flushed(spark, sf)
-    asked = customer_keys(spark, sf).join(runs.file_meta(flushed, BY).select(*BY, F.substring("mn", 1, 5).alias("p")), F.substring("k", 1, 5) == F.col("p")).drop("p")
-    found = pruning.may_contain(pruning.run_blooms(flushed, BY), asked, BY)
+    """Blocks in which a value was changed after the checksums were taken."""
+    blocks = _blocks(spark, sf)
+    changed = blocks.withColumn("v", F.when((F.col("block_id") + F.col("shard")) % 3 == 1, F.concat("v", F.lit("!"))).otherwise(F.col("v")))
+    return runs.failed_blocks(runs.block_checksums(blocks, ["shard"]), changed, ["shard"]).select("shard", "block_id")
+
+
+HEX = "printf('%02X%02X', strlen({0}) % 256, strlen({0}) // 256) || hex({0}::BLOB)"
+PAYLOADS = f"""payloads AS (SELECT shard, block_id, printf('%02X%02X', count(*) % 256, count(*) // 256) || string_agg({HEX.format("k")} || {HEX.format("v")}, '' ORDER BY k) AS x FROM blocks GROUP BY shard, block_id)"""
+
+
+@query("record_encode", f"WITH RECURSIVE {BLOCKS}, {PAYLOADS} SELECT shard, block_id, (length(x) // 2)::INTEGER AS bytes, md5(x) AS digest FROM payloads")
+def _(spark, sf):
+    return runs.payloads(_blocks(spark, sf), ["shard"]).select("shard", "block_id", F.octet_length("payload").alias("bytes"), F.md5(F.hex("payload").cast("binary")).alias("digest"))
+
+
+@query("record_decode", f"WITH RECURSIVE {BLOCKS} SELECT shard, block_id, (row_number() OVER (PARTITION BY shard, block_id ORDER BY k) - 1)::INTEGER AS pos, k, v FROM blocks")
+def _(spark, sf):
+    return codec.decoded(runs.payloads(_blocks(spark, sf), ["shard"]), "payload", ["k", "v"])
+
+
+@query("block_arrays", f"WITH RECURSIVE {BLOCKS} SELECT shard, block_id, string_agg(k, ',' ORDER BY k) AS keys, string_agg(v, ',' ORDER BY k) AS vals FROM blocks GROUP BY shard, block_id")
+def _(spark, sf):
+    """Blocks as parallel arrays of keys and values."""
+    rows = codec.decoded(runs.payloads(_blocks(spark, sf), ["shard"]), "payload", ["k", "v"])
+    held = rows.groupBy("shard", "block_id").agg(F.array_sort(F.collect_list(F.struct("pos", "k", "v"))).alias("r"))  # a block's
+    return held.select("shard", "block_id", F.array_join(F.col("r.k"), ",").alias("keys"), F.array_join(F.col("r.v"), ",").alias("vals"))
+
+
+@query("block_compress", f"WITH RECURSIVE {BLOCKS}, {PAYLOADS} SELECT shard, block_id, (length(x) // 2)::INTEGER AS bytes, md5(x) AS digest, true AS smaller FROM payloads")
+def _(spark, sf):
+    """Blocks compressed with a trained dictionary and read back."""
+    raw = runs.payloads(_blocks(spark, sf), ["shard"])
+    dictionary = compression.train(raw, "payload", ["shard", "block_id"])
+    packed = compression.compressed(raw, "payload", dictionary)
+    back = compression.decompressed(packed.withColumn("packed", F.octet_length("payload")), "payload", dictionary)
+    return back.select("shard", "block_id", F.octet_length("payload").alias("bytes"), F.md5(F.hex("payload").cast("binary")).alias("digest"), (F.col("packed") < F.octet_length("payload")).alias("smaller"))
+
+
+@query("page_packing", f"""WITH RECURSIVE {INDEX}, laid AS (SELECT shard, block_id, len, coalesce(sum(len) OVER (PARTITION BY shard ORDER BY block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM idx),
+p AS (SELECT shard, block_id, start // 4096 AS header, (start + len - 1) // 4096 AS "end" FROM laid) SELECT shard, block_id, header, "end", greatest(0, "end" - header - 1) AS middle FROM p""")
+def _(spark, sf):
+    return runs.paged(runs.block_index(_blocks(spark, sf), ["shard"]), ["shard"], 4096)
+
+
+PARTS = f"{INDEX}, parts AS (SELECT shard, block_id // 8 AS part_id, min(min_key) AS min_fence, count(*) AS blocks, sum(num_keys)::BIGINT AS num_keys FROM idx GROUP BY shard, block_id // 8)"
+
+
+@query("index_partitions", f"WITH RECURSIVE {PARTS} SELECT shard, part_id, min_fence, blocks, num_keys FROM parts")
+def _(spark, sf):
+    """The two-level index as it is stored and read again."""
+    parts = runs.index_partitions(runs.block_index(_blocks(spark, sf), ["shard"]), ["shard"], 8)
+    at = scratch(spark, "index")
+    parts.write.parquet(at)
+    back = spark.read.parquet(at)
+    return back.select("shard", "part_id", "min_fence", F.size("blocks").cast("long").alias("blocks"), F.aggregate("blocks", F.lit(0).cast("long"), lambda n, x: n + x["num_keys"]).alias("num_keys"))
+
+
+@query("partition_lookup", f"""WITH RECURSIVE {PARTS}, {ASKED}, p AS (SELECT a.shard, a.k, coalesce(i.part_id, 0) AS part_id FROM asked a ASOF LEFT JOIN parts i ON a.shard = i.shard AND a.k >= i.min_fence)
+SELECT p.shard, p.k, p.part_id, coalesce(i.block_id, 0) AS block_id FROM p ASOF LEFT JOIN idx i ON p.shard = i.shard AND p.k >= i.min_key""")
+def _(spark, sf):
+    parts = runs.index_partitions(runs.block_index(_blocks(spark, sf), ["shard"]), ["shard"], 8)
+    return runs.find_in_partitions(parts, _asked(spark, sf), ["shard"])
+
+
+@query("block_fetch", f"""WITH RECURSIVE {INDEX}, {ASKED}, loc AS (SELECT a.shard, a.k, coalesce(i.block_id, 0) AS block_id FROM asked a ASOF LEFT JOIN idx i ON a.shard = i.shard AND a.k >= i.min_key),
+placed AS (SELECT shard, block_id, k, v, (row_number() OVER (PARTITION BY shard, block_id ORDER BY k) - 1)::INTEGER AS place FROM blocks)
+SELECT loc.shard, loc.block_id, loc.k, i.num_keys, p.place, p.v FROM loc JOIN idx i ON i.shard = loc.shard AND i.block_id = loc.block_id LEFT JOIN placed p ON p.shard = loc.shard AND p.block_id = loc.block_id AND p.k = loc.k""")
+def _(spark, sf):
+    """The block of each key asked, by number, and the key's place in it."""
+    blocks = _blocks(spark, sf)
+    at = runs.find_block(runs.block_index(blocks, ["shard"]), _asked(spark, sf), ["shard"])
+    return runs.fetch(blocks, at, ["shard"]).select("shard", "block_id", "k", "num_keys", "place", "v")
+
+
+M = "4294967296::HUGEINT"
+
+
+def murmur_sql(source: str, seeds: int) -> str:
+    """CTEs; murmur (k, seed, h) has MurmurHash3 of the ASCII keys of a query of k."""
+    word = " + ".join(f"coalesce(b[4 * i + {j + 1}], 0) * {256**j}" for j in range(4))
+    mixed = lambda x: f"list_transform(list_transform(list_transform({x}, lambda w: (w * 3432918353) % {M}), lambda a: (a * 32768) % {M} + a // 131072), lambda c: (c * 461845907) % {M})"
+    down = lambda x, n: f"xor({x}, {x} // {2**n})"
+    return f"""mk AS (SELECT k, {_bytes("k", "HUGEINT")} AS b FROM ({source})), mw AS (SELECT k, len(b) AS n, {mixed(f"list_transform(range(0, len(b) // 4), lambda i: {word})")} AS w, {mixed(f"[(SELECT sum(coalesce(b[4 * (len(b) // 4) + j + 1], 0) * (256 ** j)::HUGEINT) FROM range(4) t(j))::HUGEINT]")}[1] AS tail FROM mk),
+mh AS (SELECT k, n, seed, xor(list_reduce(list_concat([seed::HUGEINT], w), lambda h, x: (((xor(h, x) * 8192) % {M} + xor(h, x) // 524288) * 5 + 3864292196) % {M}), tail) AS h FROM mw, range({pruning.SEED}, {pruning.SEED + seeds}) s(seed)),
+m1 AS (SELECT k, seed, {down("xor(h, n::HUGEINT)", 16)} AS h FROM mh), m2 AS (SELECT k, seed, (h * 2246822507) % {M} AS h FROM m1), m3 AS (SELECT k, seed, ({down("h", 13)} * 3266489909) % {M} AS h FROM m2), murmur AS (SELECT k, seed, ({down("h", 16)})::BIGINT AS h FROM m3)"""
+
+
+@query("murmur3", f"WITH {murmur_sql('SELECT c_name AS k FROM customer WHERE c_name IS NOT NULL', 3)} SELECT k, list(h ORDER BY seed) AS h FROM murmur GROUP BY k")
+def _(spark, sf):
+    c = table(spark, sf, "customer").where("c_name IS NOT NULL").select(F.col("c_name").alias("k")).distinct()
+    return c.select("k", pruning.hashes(F.col("k"), 3).alias("h"))
+
+
+HIT = """asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_custkey IS NOT NULL),
+hit AS (SELECT a.k, m.shard, m.run_id FROM asked a JOIN meta m ON a.k BETWEEN m.mn AND m.mx), every AS (SELECT k FROM asked UNION SELECT k FROM flushed)"""
+BLOOM = f"""{META}, {HIT}, {murmur_sql("SELECT k FROM every", pruning.HASHES)}, sized AS (SELECT shard, run_id, ((n * {pruning.BITS_PER_KEY} + 63) // 64) * 64 AS bits FROM meta),
+bits AS (SELECT DISTINCT f.shard, f.run_id, m.h % s.bits AS at FROM flushed f JOIN sized s ON s.shard = f.shard AND s.run_id = f.run_id JOIN murmur m ON m.k = f.k)"""
+
+
+def _hit(spark, sf):
+    return runs.find_files(_meta(spark, sf), customer_keys(spark, sf)).select(*BY, "k")
+
+
+@query("bloom_build", f"WITH RECURSIVE {BLOOM.replace('sized AS (SELECT shard, run_id', 'bsize AS (SELECT shard, run_id').replace('JOIN sized s ON', 'JOIN bsize s ON')} SELECT s.shard, s.run_id, s.bits, count(b.at) AS n_set FROM bsize s JOIN bits b ON b.shard = s.shard AND b.run_id = s.run_id GROUP BY s.shard, s.run_id, s.bits")
+def _(spark, sf):
+    """Filters as they are stored and read again: their size and how many bits are set."""
+    at = scratch(spark, "filter")
+    pruning.run_blooms(_flushed(spark, sf), BY).write.parquet(at)
+    back = spark.read.parquet(at)
+    return back.groupBy(*BY, "bits").agg(F.sum(F.bitmap_count("map")).alias("n_set"))
+
+
+HAS = "SELECT x.shard, x.run_id, x.k, x.maybe, f.k IS NOT NULL AS has FROM maybe x LEFT JOIN flushed f ON f.shard = x.shard AND f.run_id = x.run_id AND f.k = x.k"
+
+
+def _with_has(found, flushed):
     return found.join(flushed.select(*BY, "k", F.lit(True).alias("has")), [*BY, "k"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
 
 
+@query("bloom_prune", f"""WITH RECURSIVE {BLOOM.replace('sized AS (SELECT shard, run_id', 'bsize AS (SELECT shard, run_id').replace('JOIN sized s ON', 'JOIN bsize s ON')},
+maybe AS (SELECT h.shard, h.run_id, h.k, bool_and(b.at IS NOT NULL) AS maybe FROM hit h JOIN bsize s ON s.shard = h.shard AND s.run_id = h.run_id JOIN murmur m ON m.k = h.k LEFT JOIN bits b ON b.shard = h.shard AND b.run_id = h.run_id AND b.at = m.h % s.bits GROUP BY h.shard, h.run_id, h.k) {HAS}""")
+def _(spark, sf):
+    """Per key asked and run whose range holds it: whether the filter lets it pass, and whether the run has it."""
+    flushed = _flushed(spark, sf)
+    return _with_has(pruning.may_contain(pruning.run_blooms(flushed, BY), _hit(spark, sf), BY), flushed)
+
+
+FNV_KEY = f"list_reduce(list_concat([14695981039346656037::HUGEINT], {_bytes('k', 'HUGEINT')}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
+
+
+@query("blocked_bloom", f"""WITH RECURSIVE {META}, {HIT}, fnv AS (SELECT k, {FNV_KEY} AS h FROM every), bsize AS (SELECT shard, run_id, ((n * {pruning.BITS_PER_KEY} + 511) // 512) AS buckets FROM meta),
+probes AS (SELECT k, h, (h // (128::HUGEINT ** i)::HUGEINT) % 512 AS bit FROM fnv, range({pruning.PROBES}) t(i)),
+bits AS (SELECT DISTINCT f.shard, f.run_id, p.h % s.buckets AS bucket, p.bit FROM flushed f JOIN bsize s ON s.shard = f.shard AND s.run_id = f.run_id JOIN probes p ON p.k = f.k),
+maybe AS (SELECT h.shard, h.run_id, h.k, bool_and(b.bit IS NOT NULL) AS maybe FROM hit h JOIN bsize s ON s.shard = h.shard AND s.run_id = h.run_id JOIN probes p ON p.k = h.k
+  LEFT JOIN bits b ON b.shard = h.shard AND b.run_id = h.run_id AND b.bucket = p.h % s.buckets AND b.bit = p.bit GROUP BY h.shard, h.run_id, h.k) {HAS}""")
+def _(spark, sf):
+    flushed = _flushed(spark, sf)
+    return _with_has(pruning.blocked_may_contain(pruning.blocked_blooms(flushed, BY), _hit(spark, sf), BY), flushed)
+
+
 # snapshots
 
 
@@ -333,20 +484,166 @@ def _(spark, sf):
     return runs.wal(events(spark, sf), OPT).groupBy("shard", "segment_no", "segment").agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"))
 
 
+def _wal(spark, sf) -> Wal:
+    """The events appended in two parts, closed and opened again."""
+    at, log = scratch(spark, "wal"), events(spark, sf)
+    wal = Wal(spark, at, OPT)
+    for part in (F.col("seq") <= 400, F.col("seq") > 400):
+        wal.append(log.where(part))
+    wal.close()
+    return Wal(spark, at, OPT)
+
+
 @query("wal_replay", ORACLES["kv_put_lww"])
 def _(spark, sf):
-    return runs.replay(events_log(spark, sf))
+    """State after a crash: from the bytes of the log's segments."""
+    return reads.newest(_wal(spark, sf).replay())
+
+
+@query("wal_reopen", f"WITH {LOG} SELECT count(*) AS n, min(seq) AS first_seq, max(seq) AS last_seq, 2::BIGINT AS appends, true AS clean FROM log")
+def _(spark, sf):
+    wal = _wal(spark, sf)
+    return wal.replay().agg(F.count("*").alias("n"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq")).withColumns({"appends": F.lit(wal.meta["appends"]).cast("long"), "clean": F.lit(wal.clean)})
+
+
+@query("wal_torn", f"WITH RECURSIVE {NUMBERED} {fold_sql('SELECT shard AS grp, rn, z FROM sized', WAL_RULE, 'flush_id')}, last AS (SELECT grp, max(flush_id) AS flush_id FROM f GROUP BY grp) SELECT sized.shard, sized.seq, k, v FROM sized JOIN f ON sized.shard = f.grp AND sized.rn = f.rn JOIN last ON last.grp = f.grp AND f.flush_id < last.flush_id")
+def _(spark, sf):
+    """The last buffer of each shard was not written whole: replay ends before it."""
+    wal = Wal(spark, scratch(spark, "wal"), OPT)
+    wal.append(events(spark, sf))
+    held = wal.rows()
+    last = F.col("flush_id") == F.max("flush_id").over(Window.partitionBy("shard"))
+    torn = held.withColumn("payload", F.when(last, F.substring("payload", 1, 100)).otherwise(F.col("payload")))
+    after = Wal(spark, scratch(spark, "wal"), OPT)
+    torn.write.partitionBy("append").parquet(f"{after.path}/segments")
+    return after.replay().select("shard", "seq", "k", "v")
+
+
+# the store
+
+
+def _store(spark, sf, path: str | None = None, parts: int = 3) -> Store:
+    """The events flushed in parts, by a store that is closed then; opened anew."""
+    log, path = events_log(spark, sf), path or scratch(spark, "store")
+    store = Store(spark, path, OPT)
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for i in range(parts):
+        store.flush(log.where((F.col("seq") > last * i // parts) & (F.col("seq") <= last * (i + 1) // parts)))
+    store.close()
+    return Store(spark, path, OPT)
+
+
+@query("store_reopen", ORACLES["kv_delete_live"])
+def _(spark, sf):
+    return _store(spark, sf).scan()
+
+
+@query("store_compact", ORACLES["kv_delete_live"])
+def _(spark, sf):
+    store = _store(spark, sf)
+    store.compact()
+    return store.scan()
+
+
+@query("store_manifest", "SELECT 0 AS level, 0 AS due")
+def _(spark, sf):
+    """After compaction no level is due and none below level 0 has files that overlap."""
+    store = _store(spark, sf)
+    store.compact()
+    manifest = store.manifest()
+    met = runs.overlaps(manifest, manifest, closed=True).where("a_id <> b_id").join(manifest.where("level > 0").withColumnRenamed("file_id", "a_id"), "a_id")
+    both = met.join(manifest.select(F.col("file_id").alias("b_id"), F.col("level").alias("b_level")), "b_id").where("level = b_level").agg(F.count("*").cast("int").alias("level"))
+    return both.crossJoin(compaction.triggers(manifest, OPT).agg(F.coalesce(F.sum(F.col("due").cast("int")), F.lit(0)).cast("int").alias("due")))  # one row each
+
+
+@query("store_snapshot", f"WITH {LOG}, n AS (SELECT k, max(seq) AS seq, max_by(v, seq) AS v FROM log WHERE seq <= (SELECT max(event_id) // 3 FROM events) GROUP BY k) SELECT k, seq, v FROM n WHERE v <> '-'")
+def _(spark, sf):
+    """A pinned version, read after later flushes and a compaction."""
+    store = _store(spark, sf)
+    first = store.pin(store.versions()[0])
+    store.compact()
+    return store.scan(version=first)
+
+
+@query("store_multi_get", ORACLES["kv_multi_get"])
+def _(spark, sf):
+    return _store(spark, sf).multi_get(customer_keys(spark, sf))
+
+
+@query("store_seek", ORACLES["kv_scan_prefix"])
+def _(spark, sf):
+    return _store(spark, sf).seek("user:00001")
+
+
+@query("store_read_length", f"WITH {NEWEST} SELECT k, seq, v, strlen(v)::INTEGER AS length FROM live WHERE k = 'user:000007'")
+def _(spark, sf):
+    return _store(spark, sf).read_length("user:000007")
+
+
+@query("store_locate", f"""WITH {NEWEST} SELECT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k, true AS located FROM customer WHERE 'user:' || lpad(c_custkey::VARCHAR, 6, '0') IN (SELECT k FROM newest)""")
+def _(spark, sf):
+    """Keys of the store among those asked, found by the ranges, filters and block indexes stored beside its files."""
+    store, asked = _store(spark, sf), customer_keys(spark, sf)
+    at = store.locate(asked).groupBy("k").agg(F.min("block_id").alias("b"))
+    return reads.newest(store._read(store.load()["files"])).join(asked, "k", "left_semi").select("k").join(at, "k", "left").select("k", F.col("b").isNotNull().alias("located"))
+
+
+@query("store_shards", f"WITH {NEWEST}, s AS (SELECT *, ({FNV_KEY} % 3)::BIGINT AS shard FROM live) SELECT k, seq, v, shard FROM s")
+def _(spark, sf):
+    """Three shards: each has its own keys."""
+    store = ShardedStore(spark, scratch(spark, "shards"), 3, OPT)
+    store.flush(events_log(spark, sf))
+    parts = [s.scan().withColumn("shard", F.lit(i).cast("long")) for i, s in enumerate(store.shards)]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query("stream_into_store", ORACLES["kv_delete_live"])
+def _(spark, sf):
+    """The events arrive in order, in several files; each batch is a commit."""
+    at = scratch(spark, "stream")
+    log = events_log(spark, sf)
+    half = (log.agg(F.max("seq")).first()[0] or 0) // 2
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        log.where(part).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    store = Store(spark, f"{at}/store", OPT)
+    upsert.into_store(upsert.stream_log(spark, f"{at}/in"), store, f"{at}/checkpoint").awaitTermination()
+    return store.scan()
+
+
+@query("put_rejects", f"""SELECT doc_id AS seq, CASE WHEN text IS NULL THEN 'no value' ELSE 'too large' END AS reason FROM documents
+WHERE doc_id IS NOT NULL AND (text IS NULL OR strlen(text) + strlen(doc_id::VARCHAR) + 4 >= {OPT.memtable_bytes // 4})""")
+def _(spark, sf):
+    """Documents that can't be put: without a text, or too large for a memtable of 8 KB."""
+    d, small = table(spark, sf, "documents").where("doc_id IS NOT NULL"), Options(memtable_bytes=OPT.memtable_bytes // 4)
+    key = d["doc_id"].cast("string")
+    log = d.where("text IS NOT NULL").select(F.col("doc_id").alias("seq"), F.col("doc_id").cast("string").alias("k"), F.col("text").alias("v"))
+    return rejected(d, d["doc_id"], key, d["text"]).select("seq", "reason").union(runs.oversized(log, small).select("seq", "reason"))
+
+
+@query("kv_physical_delete", f"""WITH {LOG}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_custkey IS NOT NULL),
+r AS (SELECT log.*, row_number() OVER (PARTITION BY k ORDER BY seq DESC) AS n FROM log), kept AS (SELECT * FROM r WHERE NOT (n = 1 AND k IN (SELECT k FROM asked)))
+SELECT k, max(seq) AS seq, max_by(v, seq) AS v FROM kept GROUP BY k""")
+def _(spark, sf):
+    """The newest version of each key asked is unlinked, and the one below it is seen."""
+    return reads.newest(runs.physically_deleted(events_log(spark, sf), customer_keys(spark, sf)))
 
 
-def scratch(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return os.path.join(base, f"stream-{uuid.uuid4().hex}")
+JOBS = f"""{PLAN}, q AS (SELECT *, row_number() OVER (ORDER BY start_level, victim) AS rn, list_concat([victim], CASE WHEN inputs = '' THEN [] ELSE string_split(inputs, ',') END) AS files FROM jobs),
+g AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS taken, false AS zero, false AS ok UNION ALL
+  SELECT q.rn, CASE WHEN list_has_any(q.files, g.taken) OR (g.zero AND q.start_level = 0) THEN g.taken ELSE list_concat(g.taken, q.files) END,
+    g.zero OR (q.start_level = 0 AND NOT list_has_any(q.files, g.taken)), NOT (list_has_any(q.files, g.taken) OR (g.zero AND q.start_level = 0)) FROM g JOIN q ON q.rn = g.rn + 1)"""
+
+
+@query("compact_jobs", f"WITH RECURSIVE {LEVELS} {JOBS} SELECT row_number() OVER (ORDER BY q.rn) - 1 AS place, victim, start_level, end_level, inputs, trivial FROM q JOIN g ON g.rn = q.rn AND g.ok")
+def _(spark, sf):
+    """The jobs of a plan that can run together."""
+    return compaction.jobs(compaction.plan(_manifest(spark, sf), OPT))
 
 
 @query("stream_upsert", ORACLES["kv_delete_live"])
 def _(spark, sf):
     """The events arrive out of order, in several files; the state at the end is the batch result."""
-    at = scratch(spark)
+    at = scratch(spark, "stream")
     events_log(spark, sf).repartition(4, F.xxhash64("seq")).write.parquet(f"{at}/in")
     upsert.append(upsert.stream_log(spark, f"{at}/in"), f"{at}/out", f"{at}/checkpoint").awaitTermination()
     return upsert.state(spark, f"{at}/out")
@@ -383,13 +680,28 @@ def _(spark, sf):
     return c.select("k", routed(F.col("k"), 8).alias("shard"), routed(F.col("k"), 8, 3).alias("from_3"))
 
 
-@query("cache_shard_route")
+DJB2 = f"list_reduce(list_concat([5381::HUGEINT], {_bytes('k', 'HUGEINT')}), lambda h, b: (h * 33 + b) % 18446744073709551616::HUGEINT)"
+
+
+@query("cache_shard_route", f"""WITH RECURSIVE c AS (SELECT c_name AS k, {DJB2.replace('k,', 'c_name,')} AS h FROM customer WHERE c_name IS NOT NULL),
+j AS (SELECT k, h, -1::BIGINT AS b, 0::BIGINT AS nxt FROM c UNION ALL
+  SELECT k, h2, nxt, floor((nxt + 1) * (2147483648::DOUBLE / ((h2 // 8589934592::HUGEINT) + 1)::DOUBLE))::BIGINT FROM (SELECT k, nxt, (h * 2862933555777941757::HUGEINT % 18446744073709551616::HUGEINT + 1) % 18446744073709551616::HUGEINT AS h2 FROM j WHERE nxt < 8))
+SELECT k, max(b) AS bucket FROM j WHERE nxt >= 8 GROUP BY k""")
 def _(spark, sf):
     c = table(spark, sf, "customer").where("c_name IS NOT NULL")
     return c.select(F.col("c_name").alias("k"), cache_shard(F.col("c_name"), 8).alias("bucket"))
 
 
-@query("clock_cache_sim")
+FALSE = "list_transform({}, lambda x: false)"
+
+
+@query("clock_cache_sim", f"""WITH RECURSIVE {LOG}, t AS MATERIALIZED (SELECT shard, substr(k, 6)::BIGINT // 10 AS page, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM log),
+c AS (SELECT shard, rn, [page] AS q, [true] AS u, 0::BIGINT AS hits FROM t WHERE rn = 1 UNION ALL
+  SELECT shard, rn, CASE WHEN p > 0 THEN q WHEN len(q) < 8 THEN list_append(q, page) WHEN f > 0 THEN list_concat(list_concat(q[f + 1:], q[:f - 1]), [page]) ELSE list_append(q[2:], page) END,
+    CASE WHEN p > 0 THEN list_concat(list_append(u[:p - 1], true), u[p + 1:]) WHEN len(q) < 8 THEN list_append(u, true) WHEN f > 0 THEN list_append(list_concat(u[f + 1:], {FALSE.format("u[:f - 1]")}), true) ELSE list_append({FALSE.format("u[2:]")}, true) END,
+    hits + (p > 0)::BIGINT
+  FROM (SELECT t.shard, t.rn, t.page, c.q, c.u, c.hits, coalesce(list_position(c.q, t.page), 0) AS p, coalesce(list_position(c.u, false), 0) AS f FROM c JOIN t ON t.shard = c.shard AND t.rn = c.rn + 1))
+SELECT shard, max(rn) AS accesses, max(hits) AS hits FROM c GROUP BY shard""")
 def _(spark, sf):
     """Block accesses of the events by shard: hits of a cache of 8 frames."""
     trace = events(spark, sf).withColumn("page", F.floor(F.substring("k", 6, 9).cast("long") / 10))

@@ -1,40 +1,39 @@
-"""A copy-on-write store: Parquet runs and a manifest per version.
+"""A copy-on-write store: Parquet runs, the block index and filter of each, and a manifest per version.
 
 A commit writes new files, then publishes manifest/v<N>.json by an atomic rename; readers resolve a
 version once. All paths go through Hadoop's file systems, so any store that Spark reads will do. One
-writer at a time, as for one shard.
+writer at a time, as for one shard; ShardedStore has several, each with its own keys.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import LOG, TOMBSTONE, Options, ProtectedResource, StoreError
-from .operators import compaction, reads
+from .functions.hashing import fnv1a_64
+from .model import LARGE, LOG, TOMBSTONE, Options, ProtectedResource, StoreError, checked
+from .operators import compaction, pruning, reads, runs
+from .paths import Paths
 
+#: Up to this size files that compaction writes have the small fixed filter.
+SMALL_FILE = 1 << 20
 ROW = "file_id string, level int, mn string, mx string, n long, bytes long, newest long"
 
 
 class Store:
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
-        self.spark, self.path, self.options = spark, path.rstrip("/"), options or Options()
-        jvm = spark.sparkContext._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self.fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.spark, self.path, self.options = spark, path.rstrip("/"), options or LARGE
+        self.files, self.closed = Paths(spark, self.path), False
         self.pins: dict[int, int] = {}
 
     # manifest versions
 
     def versions(self) -> list[int]:
-        at = self._path(f"{self.path}/manifest")
-        if not self.fs.exists(at):
-            return []
-        names = [s.getPath().getName() for s in self.fs.listStatus(at)]
-        return sorted(int(x[1:-5]) for x in names if x.startswith("v") and x.endswith(".json"))
+        return sorted(int(x[1:-5]) for x in self.files.names(f"{self.path}/manifest") if x.startswith("v") and x.endswith(".json"))
 
     def load(self, version: int | None = None) -> dict:
         known = self.versions()
@@ -44,19 +43,20 @@ class Store:
             return {"version": 0, "seq": 0, "files": []}
         if version not in known:
             raise StoreError(f"no version {version}")
-        text = self.spark.read.text(f"{self.path}/manifest/v{version}.json", wholetext=True).first()[0]
-        return json.loads(text)
+        return json.loads(self.files.read(f"{self.path}/manifest/v{version}.json"))
 
     def publish(self, files: list[dict], seq: int, base: int) -> int:
         body = json.dumps({"version": base + 1, "seq": seq, "files": files})
-        tmp, to = self._path(f"{self.path}/manifest/.{uuid.uuid4().hex}"), self._path(f"{self.path}/manifest/v{base + 1}.json")
-        out = self.fs.create(tmp)
-        out.write(bytearray(body.encode()))
-        out.close()
-        if self.fs.exists(to) or not self.fs.rename(tmp, to):
+        if self.closed:
+            raise StoreError("the store is closed")
+        if not self.files.publish(f"{self.path}/manifest/v{base + 1}.json", body):
             raise StoreError(f"version {base + 1} was published by another writer")
         return base + 1
 
+    def close(self) -> None:
+        """No more commits by this one; all that it committed is there already."""
+        self.closed = True
+
     # writes
 
     def _write(self, rows: DataFrame, level: int, n: int, by: tuple[str, ...] = ()) -> list[dict]:
@@ -67,14 +67,24 @@ class Store:
         cut.write.partitionBy(*by).option("compression", "zstd").option("parquet.bloom.filter.enabled#k", "true").parquet(folder)
         back = self.spark.read.schema("k string, seq long, v string, ts timestamp").parquet(folder)
         z = F.octet_length("k") + F.octet_length("v") + 4
+        self._write_index(back, folder, level)
         meta = back.groupBy(F.input_file_name().alias("file_id")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum(z).alias("bytes"), F.max("seq").alias("newest"))
         return [r.asDict() | {"level": level} for r in meta.collect()]  # one row a file
 
+    def _write_index(self, back: DataFrame, folder: str, level: int) -> None:
+        """Beside a folder of files, for each its block index and its filter, which reads look at first."""
+        rows = runs.with_size(back.withColumn("file_id", F.input_file_name()).select("file_id", "k", "v"))
+        blocks = runs.with_blocks(rows, ["file_id"], self.options)
+        runs.block_index(blocks, ["file_id"]).write.parquet(f"{folder}-index")
+        filters = pruning.compacted_blooms if level and self.options.file_bytes <= SMALL_FILE else pruning.run_blooms
+        filters(rows, ["file_id"]).write.parquet(f"{folder}-filter")
+
     def flush(self, log: DataFrame) -> int:
         """Commits a batch of writes as one level-0 run: the newest version of each key, deletions kept. A
-        batch whose writes are all in the store already changes nothing, so a retried batch is safe."""
+        batch whose writes are all in the store already changes nothing, so a retried batch is safe. A record
+        without key or value fails the batch before anything of it is seen."""
         now = self.load()
-        log = log.select(*LOG.fieldNames()).where(F.col("seq") > now["seq"])
+        log = checked(log.select(*LOG.fieldNames())).where(F.col("seq") > now["seq"])
         last = log.agg(F.max("seq"), F.sum(F.octet_length("k") + F.octet_length("v"))).first()
         if last[0] is None:
             return now["version"]
@@ -126,14 +136,51 @@ class Store:
 
     def _between(self, version: int | None, start: str | None, end: str | None) -> DataFrame:
         """Rows of the files that can hold a key in [start, end)."""
-        files = [f for f in self.load(version)["files"] if (end is None or f["mn"] < end) and (start is None or f["mx"] >= start)]
+        files = [f for f in self.load(version)["files"] if (end is None or f["mn"] <= end) and (start is None or f["mx"] >= start)]
         return self._read(files)
 
+    def _beside(self, files: list[dict], what: str, schema: str) -> DataFrame:
+        """What is stored beside the files, of these alone."""
+        folders = sorted({self._folder(f) for f in files})
+        held = self.spark.read.schema(schema).parquet(*[f"{x}-{what}" for x in folders])
+        return held.join(self.spark.createDataFrame([(f["file_id"], f["level"]) for f in files], "file_id string, level int"), "file_id")
+
+    def _folder(self, file: dict) -> str:
+        """The folder that a file was written in, below which partitions may be."""
+        root = f"/{self.path.rsplit('/', 1)[-1]}/data/"
+        at = file["file_id"].index(root) + len(root)
+        return f"{self.path}/data/{file['file_id'][at:].split('/', 1)[0]}"
+
+    def may_hold(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """(k, file_id) of the files that may have a key, by their ranges and then their filters."""
+        files = self.load(version)["files"]
+        if not files:
+            return keys.select("k").where("false").withColumn("file_id", F.lit(""))
+        met = runs.find_files(self.manifest({"files": files}), keys.select("k").distinct()).select("k", "file_id", "level")
+        blooms = self._beside(files, "filter", "file_id string, bits long, word long, map binary")
+        small = self.options.file_bytes <= SMALL_FILE
+        parts = [("level = 0", pruning.HASHES), ("level > 0", pruning.COMPACTED_HASHES)] if small else [("true", pruning.HASHES)]
+        found = [pruning.may_contain(blooms.where(of).drop("level"), met.where(of), ["file_id"], n) for of, n in parts]
+        return reduce(DataFrame.union, found).where("maybe").select("k", "file_id")
+
+    def locate(self, keys: DataFrame, version: int | None = None) -> DataFrame:
+        """(file_id, k, block_id): the block of each file that may have the key, by the stored index."""
+        files = self.load(version)["files"]
+        index = self._beside(files, "index", "file_id string, block_id long, min_key string, num_keys long, len long").drop("level")
+        return runs.find_block(index, self.may_hold(keys, version), ["file_id"])
+
     def get(self, key: str, version: int | None = None) -> DataFrame:
-        return reads.get(self._between(version, key, key + "\x00"), key)
+        return reads.get(self._between(version, key, key), key)
+
+    def read_length(self, key: str, version: int | None = None) -> DataFrame:
+        """get, with the value's length in bytes."""
+        return self.get(key, version).withColumn("length", F.octet_length("v"))
 
     def multi_get(self, keys: DataFrame, version: int | None = None) -> DataFrame:
-        return reads.multi_get(self._read(self.load(version)["files"]), keys)
+        """Reads only files whose filter lets one of the keys pass; Parquet's own filters prune within them."""
+        files = self.load(version)["files"]
+        due = {r["file_id"] for r in self.may_hold(keys, version).select("file_id").distinct().collect()}  # files, not rows
+        return reads.multi_get(self._read([f for f in files if f["file_id"] in due]), keys)
 
     def scan(self, start: str | None = None, end: str | None = None, version: int | None = None) -> DataFrame:
         return reads.scan(self._between(version, start, end), start, end)
@@ -159,8 +206,43 @@ class Store:
         used = {f["file_id"] for v in known if v >= keep for f in self.load(v)["files"]}
         old = {f["file_id"] for v in known if v < keep for f in self.load(v)["files"]}
         for f in old - used:
-            self.fs.delete(self._path(f), False)
+            self.files.delete(f)
+        live = {self._folder({"file_id": f}) for f in used}
+        for folder in {self._folder({"file_id": f}) for f in old - used} - live:
+            for what in ("index", "filter"):
+                self.files.delete(f"{folder}-{what}")
         for v in known:
             if v < keep:
-                self.fs.delete(self._path(f"{self.path}/manifest/v{v}.json"), False)
+                self.files.delete(f"{self.path}/manifest/v{v}.json")
         return len(old - used)
+
+
+class ShardedStore:
+    """n stores below one path; a key is in the one that its FNV-1a says."""
+
+    def __init__(self, spark: SparkSession, path: str, n: int, options: Options | None = None):
+        self.n, self.shards = n, [Store(spark, f"{path.rstrip('/')}/shard{i}", options) for i in range(n)]
+
+    def of(self, key: str) -> Store:
+        return self.shards[int(fnv1a_64([key.encode()])[0] % self.n)]
+
+    def flush(self, log: DataFrame) -> list[int]:
+        dealt = runs.sharded(log, self.n)
+        return [s.flush(dealt.where(F.col("shard") == i).select(*LOG.fieldNames())) for i, s in enumerate(self.shards)]
+
+    def compact(self) -> list[int]:
+        return [s.compact() for s in self.shards]
+
+    def get(self, key: str) -> DataFrame:
+        return self.of(key).get(key)
+
+    def multi_get(self, keys: DataFrame) -> DataFrame:
+        dealt = runs.sharded(keys.select("k").distinct(), self.n)
+        return reduce(DataFrame.union, [s.multi_get(dealt.where(F.col("shard") == i).select("k")) for i, s in enumerate(self.shards)])
+
+    def scan(self, start: str | None = None, end: str | None = None) -> DataFrame:
+        return reduce(DataFrame.union, [s.scan(start, end) for s in self.shards]).orderBy("k")
+
+    def close(self) -> None:
+        for s in self.shards:
+            s.close()
