@@ -9,14 +9,14 @@ of THRESHOLD or more; classes are the connected components of the links. Steps:
    of any size costs one comparison a node.
 3. What could still be lost is a link between two trees. Buckets with nodes of several trees are cut
    into cells of at most 2 x CELL nodes: every node against every node that isn't in the bucket's
-   largest tree. First each tree is verified against the tree whose signatures agree with its most,
+   largest tree. First each tree is verified against the trees whose signatures agree with its most,
    and linked trees are joined; that joins what a large group of copies is in.
 4. Then all pairs of nodes of different trees whose signatures agree leave the cells, each from the
    first bucket it shares, and are verified, those that agree most first. Components come from
    repeated contraction.
 
 A pair at similarity s shares no bucket with probability (1 - s ** ROWS) ** BANDS, 7e-6 at 0.8 and
-2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 2e-5. Verification is
+2e-9 at 0.85; the signature filter at LEAST drops a pair at 0.8 with about 3e-5. Verification is
 of the whole multisets (of 64-bit hashes of the shingles). No bucket, group or candidate list is capped.
 
 Keys that many rows may share (a word key, a bucket, a class, the node that many pairs have) are split:
@@ -36,20 +36,23 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, multiset, shingles, signatures, similarity
 from .common import join_split, release, scratch, ship, stored, text_of
 from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
-THRESHOLD, LEAST = 0.8, 0.735
-BANDS, ROWS, REGISTERS, GLANCE = 30, 5, 640, 128
+THRESHOLD, LEAST = 0.8, 0.755
+BANDS, ROWS, REGISTERS, GLANCE = 30, 5, 1280, 128
 CELL, SHARE = 1024, 256
 #: Parts in which pairs with a hot node learn in how many cells they are verified.
 SALTS = 64
-#: Signatures that agree so well are verified first; trees that this joins need no further pair.
-STEPS = (1.0, 0.78, LEAST)
+#: Pairs that each tree has verified, those that agree most, before all pairs are; again with more of them
+#: for the trees that are left. Two large trees with thousands of links between them are joined by one.
+FIRST = (1, 8)
+#: Of all pairs, those whose signatures agree so well are verified first; trees that this joins need no more.
+STEPS = (1.0, 0.785, LEAST)
 CHUNK_DOCS, CHUNK_BYTES = 400, 3 << 19
 
 
@@ -183,10 +186,10 @@ def components(edges: DataFrame) -> DataFrame:
         return keep(stored(labels, "cc-labels"))
 
 
-def _cells(least: float, most: float, every: bool):
+def _cells(least: float, most: float, top: int):
     """Rows sorted by cell: pairs of a cell's sides (0: all nodes, 1: the others) of different trees that
-    may be linked. every: each of them, in the first bucket that its nodes share; else for each tree of
-    side 1 the pair that agrees most."""
+    may be linked. top 0: each of them, in the first bucket that its nodes share; else for each tree of
+    side 1 so many pairs, those that agree most."""
 
     def pairs(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
         if not len(rows):
@@ -209,19 +212,19 @@ def _cells(least: float, most: float, every: bool):
                 x, est = x[due], est[due]
                 if not len(x):
                     continue
-                if every:
+                if not top:
                     shared = buckets[x] == buckets[y]
                     first = buckets[y][shared.argmax(axis=1)] == key[lo, 0]
                     # both nodes outside the largest tree: the pair comes in both orders, one is enough
                     first &= (tree[x] == main[y]) | (row[x] < row[y])
                     x, est = x[first], est[first]
                 else:
-                    best = np.argmax(est)
-                    x, est = x[best : best + 1], est[best : best + 1]
+                    best = np.argsort(-est, kind="stable")[:top]
+                    x, est = x[best], est[best]
                 got += [(row[k], row[y], tree[k], tree[y], e) for k, e in zip(x, est)]
         if got:
             out = pd.DataFrame(got, columns=["a", "b", "tree_a", "tree_b", "est"])
-            yield out if every else out.sort_values("est", ascending=False).drop_duplicates("tree_b")
+            yield out.sort_values("est", ascending=False).groupby("tree_b").head(top) if top else out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
@@ -239,9 +242,9 @@ def _cells(least: float, most: float, every: bool):
     return run
 
 
-def between_trees(members: DataFrame, nodes: DataFrame, texts: DataFrame, trees: DataFrame, least: float, most: float, every: bool) -> DataFrame:
+def between_trees(members: DataFrame, nodes: DataFrame, texts: DataFrame, trees: DataFrame, least: float, most: float, top: int) -> DataFrame:
     """(a, b, tree_a, tree_b): pairs of nodes in one bucket but different trees that may be linked; all
-    of them, or for each tree the one that agrees most. Made of stored tables of the scope around."""
+    of them, or for each tree the `top` that agree most. Made of stored tables of the scope around."""
     at = members.join(trees.withColumnRenamed("root", "tree"), "row", "left").select("bucket", "row", F.coalesce("tree", "row").alias("tree"))
     at = stored(at, "near-buckets")
     shares = at.groupBy("bucket", "tree").agg(F.count("*").alias("n"))
@@ -254,11 +257,12 @@ def between_trees(members: DataFrame, nodes: DataFrame, texts: DataFrame, trees:
     left = here.drop("j").withColumn("j", upto("cols")).withColumn("side", F.lit(0)).select(*keep)
     right = here.where("tree <> main").drop("i").withColumn("i", upto("rows")).withColumn("side", F.lit(1)).select(*keep)
     cells = left.union(right).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = cells.mapInPandas(_cells(least, most, every), "a long, b long, tree_a long, tree_b long, est double")
-    if every:
+    found = cells.mapInPandas(_cells(least, most, top), "a long, b long, tree_a long, tree_b long, est double")
+    if not top:
         return found.repartition("b")  # few pairs, so few files
-    best = found.groupBy("tree_b").agg(F.max(F.struct("est", "a", "b", "tree_a")).alias("m")).select("m.a", "m.b", "m.tree_a", "tree_b")
-    return best.dropDuplicates(["a", "b"])
+    order = Window.partitionBy("tree_b").orderBy(F.col("est").desc(), "a", "b")  # a pair may come from several buckets
+    best = found.dropDuplicates(["a", "b"]).withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    return best.drop("place")
 
 
 def merged(trees: DataFrame, links: DataFrame) -> DataFrame:
@@ -294,10 +298,10 @@ def near_classes(docs: DataFrame) -> DataFrame:
         stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
         stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
         trees = rooted(verified(stars, texts_of))
-        turns = [(LEAST, 2.0, False), *((least, 2.0 if most == 1.0 else most, True) for most, least in zip(STEPS, STEPS[1:]))]
-        for least, most, every in turns:
+        turns = [*((LEAST, 2.0, top) for top in FIRST), *((least, 2.0 if most == 1.0 else most, 0) for most, least in zip(STEPS, STEPS[1:]))]
+        for least, most, top in turns:
             with scratch(spark) as up:
-                cross = stored(between_trees(members, inside, texts_of, trees, least, most, every), "near-cross")
+                cross = stored(between_trees(members, inside, texts_of, trees, least, most, top), "near-cross")
                 links = stored(verified(cross.select("a", "b"), texts_of).join(cross, ["a", "b"]), "near-links")
                 if not links.isEmpty():
                     trees = up(merged(trees, links))
