@@ -4,8 +4,8 @@ Pass 1 sets a bit for every text hash, BITS_PER_ROW bits a row, and marks the bi
 rows set. Pass 2 probes them: a row whose bit is marked may be repeated and is shuffled to its group,
 any other row is unique and passes straight through.
 
-What pass 1 exchanges is the number of a bit, once a task that sets it: eight bytes a row before
-compression, no texts and no hashes. Bitmaps of one size merged by OR and AND would be more: to tell
+What pass 1 exchanges is the number of a bit and a count, once a task that sets it: sixteen bytes a row
+before compression, no texts and no hashes. Bitmaps of one size merged by OR and AND would be more: to tell
 which of 16 N bits a task of n rows has set takes at least n * log2(16 N / n) bits, and a bitmap of all
 bits for each task is larger still from 1 / 64 of them set. One hash a row instead of two halves the
 exchange; of the unique rows about 6 in 100 then meet another's bit and are shuffled too.
