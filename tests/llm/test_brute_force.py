@@ -5,13 +5,14 @@ import itertools
 import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelog.llm import bagminhash, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, secret_scan, topk, toxicity
+from tidelog.llm import bagminhash, exact_dedup, html_extract, license_scan, mixing, near_dedup, packing, secret_scan, tokens, topk, toxicity
 
 DATA = "/root/testdata"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, size string, row string, key string"
@@ -433,3 +434,160 @@ def test_pipeline_odd_rows(spark, tmp_path):
                 # of the empty texts one, of equal ones one, of 25 words with one more one
                 assert at.count() == len(rows) - 2 - 1 - 1 - 1 and at.where("doc_id is null").count() == 1
         assert (at.count() == 0) == empty
+
+
+def dense_marginals(model, text):
+    """The number of a document's tokens, and the marginals of those with a feature, from a forward-backward
+    pass over every token, nothing skipped."""
+    words, (a, b, c) = re.findall(r"\w+", text), map(math.exp, model.change)
+    known = [[model.weights[f] for f in (f"={w}", *(w[:n] for n in range(3, 7) if len(w) >= n)) if f in model.weights] for w in map(str.lower, words)]
+    emit = [math.exp(model.bias + sum(x)) for x in known]
+    ahead, x, y = [], 1.0, 1.0
+    for e in emit:
+        x, y = x + y * b, (x * a + y * c) * e
+        x, y = x / (x + y), y / (x + y)
+        ahead.append(y)
+    u, v, marginal = 1.0, 1.0, []
+    for e, y in zip(reversed(emit), reversed(ahead)):
+        marginal.append(y * v / ((1 - y) * u + y * v))
+        u, v = u + a * e * v, b * u + c * e * v
+        u, v = u / (u + v), v / (u + v)
+    return len(words), [x for x, of in zip(reversed(marginal), known) if of]
+
+
+def targets_by_hand(size):
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight, target, left = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}, {}, 1.5 * sum(size.values())
+    while open_ := [s for s in order if s not in target]:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] >= 2 * size[s]]
+        target |= {s: 2.0 * size[s] for s in full} if full else {s: level * weight[s] for s in open_}
+        left -= sum(2 * size[s] for s in full)
+    return target
+
+
+@pytest.fixture(scope="module")
+def stages(spark, tmp_path_factory):
+    """What each stage got and gave, of the documents of sf0.001 and of planted rows."""
+    import corpus_pipeline
+
+    at, rng = str(tmp_path_factory.mktemp("stages")), random.Random(12)
+    table = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
+    # words of their own: those of the table hold insults
+    vocabulary = ["".join(x) for x in itertools.product(("bar", "kel", "mod", "nur", "pif", "sot"), ("ab", "en", "il", "or"), ("", "ta", "wu"))]
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    rude = lambda: " ".join([*text(40).split(), "vilegrub", "stinkpot", *text(20).split()])
+    base, rows = [text(120) for _ in range(6)], []
+    for k, x in enumerate(base):
+        words = x.split()
+        words[60] = "othered"
+        rows += [(9000 + 10 * k, x), (9001 + 10 * k, x.upper()), (9002 + 10 * k, " ".join(words)), (9003 + 10 * k, " ".join(words[:115])), (9004 + 10 * k, " ".join(words[::-1]))]
+    rows += [(9500 + k, rude()) for k in range(60)] + [(9600 + k, text(60)) for k in range(60)]
+    marks = [(9500 + k, 0, 1) for k in range(40)] + [(9600 + k, 1, 0) for k in range(60)]
+    rows += [(9700, None), (9701, ""), (9702, text(5000)), (9703, "x" * 9000)]
+    added = spark.createDataFrame([(i, t, "en", None if i % 7 == 0 else f"planted{i % 3}", len(t or "")) for i, t in rows], table.schema)
+    table.union(added).write.parquet(f"{at}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/sf0.001/labels.parquet")
+    labels.union(spark.createDataFrame(marks, labels.schema)).write.parquet(f"{at}/labels.parquet")
+    held = [spark.read.parquet(f"{at}/documents.parquet")]
+    original = corpus_pipeline.stored
+
+    def watched(df, name):
+        held.append(original(df, name))
+        return held[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "stored", watched)
+        last = corpus_pipeline.run(spark, at)
+    assert last is held[-1] and len(held) == len(corpus_pipeline.STAGES) + 1
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    return spark.read.parquet(f"{at}/labels.parquet"), {name: (a, b) for name, a, b in zip(names, held, held[1:])}
+
+
+def whole(df):
+    return Counter(map(tuple, df.collect()))
+
+
+def test_pipeline_toxicity(stages):
+    labels, of = stages
+    docs_, out = of["toxicity"]
+    model = toxicity.fit(docs_, labels)
+    want = Counter()
+    learnt = {r["doc_id"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs_.collect()}
+    assert sorted(t for t, _ in toxicity.training_rows(docs_, labels)) == sorted(texts[i] for i in learnt)
+    for r in docs_.collect():
+        n, m = dense_marginals(model, r["text"] or "")
+        z = sum(w * x for w, x in zip(model.document, (1.0, math.log1p(sum(m)), max(m, default=0.0), 10 * sum(m) / max(1, n))))
+        want[tuple(r)] += 1 / (1 + math.exp(-z)) < toxicity.CUT
+    assert whole(out) == +want
+    kept = {r["doc_id"] for r in out.collect()}
+    assert not kept & set(range(9500, 9560)) and set(range(9600, 9660)) <= kept and 9700 in kept
+
+
+def test_pipeline_exact(stages):
+    docs_, out = stages[1]["exact_dedup"]
+    stays = {}
+    for r in docs_.collect():
+        key = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")
+        stays[key] = max(stays.get(key, r), r, key=lambda r: r["doc_id"])
+    assert whole(out) == Counter(map(tuple, stays.values())) and len(stays) < docs_.count()
+
+
+def test_pipeline_near(stages):
+    docs_, out = stages[1]["near_dedup"]
+    rows = sorted(docs_.collect(), key=lambda r: r["doc_id"])
+    label, _ = classes([r["text"] for r in rows])
+    first = {}
+    for r, x in zip(rows, label):
+        first.setdefault(x, r)
+    assert whole(out) == Counter(map(tuple, first.values())) and len(first) < len(rows) - 6
+
+
+def test_pipeline_mixing(stages):
+    docs_, out = stages[1]["mixing"]
+    rows, got = docs_.collect(), whole(out)
+    words = {tuple(r): len([w for w in re.split(r"[\x20\x09-\x0D]+", r["text"] or "") if w]) for r in rows}
+    size, docs_of = Counter(), Counter()
+    for r in rows:
+        size[r["source"]] += words[tuple(r)]
+        docs_of[r["source"]] += 1
+    target = targets_by_hand(size)
+    taken, copies = Counter(), Counter()
+    assert set(got) <= set(words)
+    for r in rows:
+        n, f = got[tuple(r)], target[r["source"]] / size[r["source"]] if size[r["source"]] else 0.0
+        assert math.floor(f + 1e-9) <= n <= math.ceil(f - 1e-9)
+        taken[r["source"]] += n * words[tuple(r)]
+        copies[r["source"]] += n
+    for s in size:
+        most = max(words[tuple(r)] for r in rows if r["source"] == s)
+        assert abs(taken[s] - target[s]) <= most / 2 + 1 and abs(copies[s] - docs_of[s] * target[s] / max(1, size[s])) <= mixing.LANDING + 2
+
+
+def test_pipeline_packing(stages):
+    from tokenizers import Tokenizer
+
+    docs_, out = stages[1]["packing"]
+    lib, want, lengths = Tokenizer.from_file(tokens.default_path()), Counter(), []
+    for r in docs_.collect():
+        ids = [*lib.encode(r["text"] or "", add_special_tokens=False).ids, packing.END_ID]
+        cuts = [0, *range(len(ids) % 1024 or 1024, len(ids) + 1, 1024)] if len(ids) > 1024 else [0, len(ids)]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            want[r["doc_id"], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())] += 1
+            lengths.append(b - a)
+    rows = out.collect()
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == want
+    ends, bins = defaultdict(int), []
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == ends[r["sequence_id"]]
+        ends[r["sequence_id"]] += r["length"]
+    assert max(ends.values()) <= 1024
+    for x in sorted(lengths, reverse=True):  # best fit, longest first, the plain way
+        open_ = [k for k, room in enumerate(bins) if room >= x]
+        best = min(open_, key=bins.__getitem__, default=None)
+        if best is None:
+            bins.append(1024 - x)
+        else:
+            bins[best] -= x
+    assert math.ceil(sum(lengths) / 1024) <= len(ends) <= len(bins)

@@ -9,8 +9,8 @@ are the word and its beginnings of PREFIXES letters.
 Scoring runs forward-backward over a whole document. Tokens without a feature all have the same
 potentials, so stretches of them are powers of one matrix, and work is done only at the others; the
 marginals are those of the whole chain. A document's score is a logistic function, fitted on the
-training rows, of the sum, the largest and the mean of its marginals; offending offsets are the runs
-of tokens with a marginal of at least 0.5.
+training rows, of the sum, the largest and the mean of its marginals, where tokens without a feature
+count as 0; offending offsets are the runs of tokens with a marginal of at least 0.5.
 
 Training runs on the driver, on a sample bounded in all respects: at most MAX_ROWS labelled rows of
 either class, in the order of a hash of doc_id, from the rows that `held_out` leaves; none of more than
