@@ -12,7 +12,7 @@ from tidelog.model import LOG, Options, ProtectedResource, StoreError, as_log, r
 from tidelog.operators import compaction, reads, runs
 from tidelog.sources import tables
 from tidelog.sources.tables import events_log, user_key
-from tidelog.store import ShardedStore, Store
+from tidelog.store import POINTER, ShardedStore, Store
 from tidelog.wal import Wal
 
 
@@ -239,6 +239,39 @@ def test_filters_prune_files(spark, tmp_path):
     assert store.vacuum(store.versions()[-1]) > 0 and store.multi_get(asked).where("v = 'x'").count() == 10
 
 
+def test_separated_values(spark, tmp_path):
+    at = str(tmp_path / "s")
+    store = Store(spark, at, Options(separate_from=100, level0_files=1))
+    long = lambda c: c * 150
+    odd = f"{POINTER}x:9:9"
+    store.flush(make(spark, [(1, "a", long("a")), (2, "b", "short"), (3, "c", long("c")), (4, "d", odd), (5, "e", "-"), (6, "a", long("A"))]))
+    first = store.pin(store.versions()[-1])
+    raw = {r["k"]: r["v"] for r in store._read(store.load()["files"]).collect()}
+    assert raw["b"] == "short" and raw["e"] == "-" and all(raw[k].startswith(POINTER) and len(raw[k]) < 50 for k in "acd")
+    store.flush(make(spark, [(7, "c", "-"), (8, "a", "now short"), (9, "f", long("f"))]))
+    store.compact()
+    want = {"a": "now short", "b": "short", "d": odd, "f": long("f")}
+    again = Store(spark, at, store.options)
+    assert [(r["k"], r["v"]) for r in again.scan().collect()] == sorted(want.items())
+    assert {r["k"]: r["v"] for r in store.scan(version=first).collect()} == {"a": long("A"), "b": "short", "c": long("c"), "d": odd}
+    asked = spark.createDataFrame([(k,) for k in "abcdfz"], "k string")
+    assert {r["k"]: r["v"] for r in store.multi_get(asked).collect()} == {**want, "c": None, "z": None}
+    assert store.get("f").first()["v"] == long("f") and store.read_length("f").first()["length"] == 150 and store.get("c").count() == 0
+    folders = lambda: store.files.names(f"{at}/blobs")
+    assert len(folders()) == 2
+    store.unpin(first)
+    store.flush(make(spark, [(10, "d", "no longer odd")]))
+    store.flush(make(spark, [(11, "g", "so that level 0 is due")]))
+    store.compact()
+    want |= {"d": "no longer odd", "g": "so that level 0 is due"}
+    assert len(folders()) == 2 and all(f["level"] for f in store.load()["files"])
+    store.vacuum(store.versions()[-1])
+    assert len(folders()) == 1 and {r["k"]: r["v"] for r in store.scan().collect()} == want
+    store.files.delete(f"{at}/blobs/{folders()[0]}")
+    with pytest.raises(Exception):
+        store.get("f").collect()
+
+
 def test_sharded_store(spark, tmp_path):
     store = ShardedStore(spark, str(tmp_path / "s"), 3, Options(level0_files=1))
     rows = [(i + 1, f"k{i % 50}", f"v{i}") for i in range(120)]

@@ -27,6 +27,8 @@ class Options:
     wal_segments: int = 3
     inline_below: int = 512
     large_from: int = 64 * 1024
+    #: Values of so many bytes or more stay out of a store's sorted files; 0: none.
+    separate_from: int = 0
     shards: int = 4
     levels: int = 7
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from .. import codec, compression
 from ..functions.folds import Rule, fold_sql
 from ..functions.hashing import cache_shard, routed
-from ..model import Options, rejected
+from ..model import Options, as_log, rejected
 from ..operators import compaction, pruning, reads, runs, snapshots
 from ..sources.tables import conversations_log, customer_keys, events_log, orders_log, table
 from ..store import ShardedStore, Store
@@ -669,6 +670,19 @@ def _(spark, sf):
     return runs.resolved(*runs.separated(_documents(spark, sf), OPT))
 
 
+@query("store_separated", "SELECT doc_id + 1 AS seq, doc_id::VARCHAR AS k, text AS v FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL")
+def _(spark, sf):
+    """A store whose values of 512 bytes or more are blobs, after two flushes and a compaction. Sequence numbers start at 1."""
+    store = Store(spark, scratch(spark, "store"), replace(OPT, separate_from=OPT.inline_below))
+    d = table(spark, sf, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    log = as_log(d, d["doc_id"] + 1, d["doc_id"].cast("string"), d["text"])
+    last = log.agg(F.max("seq")).first()[0] or 0
+    for a, b in ((0, last // 2), (last // 2, last)):
+        store.flush(log.where((F.col("seq") > a) & (F.col("seq") <= b)))
+    store.compact()
+    return store.scan()
+
+
 # routing and caches
 
 FNV = "list_reduce(list_concat([14695981039346656037::HUGEINT], list_transform(string_split(c_name, ''), lambda x: ord(x)::HUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"

@@ -3,6 +3,10 @@
 A commit writes new files, then publishes manifest/v<N>.json by an atomic rename; readers resolve a
 version once. All paths go through Hadoop's file systems, so any store that Spark reads will do. One
 writer at a time, as for one shard; ShardedStore has several, each with its own keys.
+
+Values of Options.separate_from bytes or more are written once, by the flush that brings them, to a
+folder of blobs in key order; the runs have pointers to them, which is all that compaction moves. A
+folder of blobs goes when no version that is kept points into it.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.hashing import fnv1a_64
@@ -21,6 +25,8 @@ from .paths import Paths
 
 #: Up to this size files that compaction writes have the small fixed filter.
 SMALL_FILE = 1 << 20
+#: Starts a pointer, "<POINTER><folder>:<seq>:<length>"; a value that starts so itself is always separated.
+POINTER = "\x01>"
 ROW = "file_id string, level int, mn string, mx string, n long, bytes long, newest long"
 
 
@@ -68,7 +74,8 @@ class Store:
         back = self.spark.read.schema("k string, seq long, v string, ts timestamp").parquet(folder)
         z = F.octet_length("k") + F.octet_length("v") + 4
         self._write_index(back, folder, level)
-        meta = back.groupBy(F.input_file_name().alias("file_id")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum(z).alias("bytes"), F.max("seq").alias("newest"))
+        blob = F.when(F.startswith(F.col("v"), F.lit(POINTER)), F.split_part("v", F.lit(":"), F.lit(1)).substr(len(POINTER) + 1, 32))
+        meta = back.groupBy(F.input_file_name().alias("file_id")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum(z).alias("bytes"), F.max("seq").alias("newest"), F.array_sort(F.collect_set(blob)).alias("blobs"))
         return [r.asDict() | {"level": level} for r in meta.collect()]  # one row a file
 
     def _write_index(self, back: DataFrame, folder: str, level: int) -> None:
@@ -79,17 +86,34 @@ class Store:
         filters = pruning.compacted_blooms if level and self.options.file_bytes <= SMALL_FILE else pruning.run_blooms
         filters(rows, ["file_id"]).write.parquet(f"{folder}-filter")
 
+    def _is_large(self) -> Column:
+        large = F.startswith(F.col("v"), F.lit(POINTER))
+        if self.options.separate_from:
+            large |= F.octet_length("v") >= self.options.separate_from
+        return large & (F.col("v") != TOMBSTONE)
+
+    def _separated(self, rows: DataFrame, n: int) -> DataFrame:
+        """rows with pointers for their large values, which go to n files of a new folder of blobs."""
+        name = uuid.uuid4().hex
+        held = rows.where(self._is_large()).select("k", "seq", "v").repartitionByRange(n, "k").sortWithinPartitions("k")
+        held.write.option("compression", "zstd").parquet(f"{self.path}/blobs/{name}")
+        pointer = F.concat_ws(":", F.lit(POINTER + name), F.col("seq").cast("string"), F.octet_length("v").cast("string"))
+        return rows.withColumn("v", F.when(self._is_large(), pointer).otherwise(F.col("v")))
+
     def flush(self, log: DataFrame) -> int:
         """Commits a batch of writes as one level-0 run: the newest version of each key, deletions kept. A
         batch whose writes are all in the store already changes nothing, so a retried batch is safe. A record
         without key or value fails the batch before anything of it is seen."""
         now = self.load()
         log = checked(log.select(*LOG.fieldNames())).where(F.col("seq") > now["seq"])
-        last = log.agg(F.max("seq"), F.sum(F.octet_length("k") + F.octet_length("v"))).first()
+        large = F.when(self._is_large(), F.octet_length("v"))
+        last = log.agg(F.max("seq"), F.sum(F.octet_length("k") + F.octet_length("v")), F.sum(large)).first()
         if last[0] is None:
             return now["version"]
         best = log.groupBy("k").agg(F.max(F.struct("seq", "v", "ts")).alias("n")).select("k", "n.*")
-        files = self._write(best, 0, max(1, -(-last[1] // self.options.memtable_bytes)))
+        if last[2]:
+            best = self._separated(best, -(-last[2] // self.options.file_bytes))
+        files = self._write(best, 0, max(1, -(-(last[1] - (last[2] or 0)) // self.options.memtable_bytes)))
         return self.publish(now["files"] + files, last[0], now["version"])
 
     def compact(self) -> int:
@@ -134,10 +158,29 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[f["file_id"] for f in files])
 
-    def _between(self, version: int | None, start: str | None, end: str | None) -> DataFrame:
-        """Rows of the files that can hold a key in [start, end)."""
-        files = [f for f in self.load(version)["files"] if (end is None or f["mn"] <= end) and (start is None or f["mx"] >= start)]
-        return self._read(files)
+    def _between(self, version: int | None, start: str | None, end: str | None) -> list[dict]:
+        """The files that can hold a key in [start, end]."""
+        return [f for f in self.load(version)["files"] if (end is None or f["mn"] <= end) and (start is None or f["mx"] >= start)]
+
+    def _values(self, found: DataFrame, files: list[dict], start: str | None = None, end: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+        """found, read from the files, with the values that pointers stand for. Of the blobs that the files
+        point into only those in [start, end] or of the keys are joined."""
+        folders = sorted({x for f in files for x in f.get("blobs", ())})
+        if not folders:
+            return found
+        blobs = self.spark.read.schema("k string, seq long, v string").parquet(*[f"{self.path}/blobs/{x}" for x in folders])
+        if start is not None:
+            blobs = blobs.where(F.col("k") >= start)
+        if end is not None:
+            blobs = blobs.where(F.col("k") <= end)
+        if keys is not None:
+            blobs = blobs.join(keys.select("k"), "k", "left_semi")
+        blobs = blobs.select(F.col("k").alias("__k"), F.col("seq").alias("__seq"), F.col("v").alias("__v"))
+        at = F.when(F.startswith(F.col("v"), F.lit(POINTER)), F.split_part("v", F.lit(":"), F.lit(2)).try_cast("long"))
+        rows = found.withColumn("__at", at)
+        rows = rows.join(blobs, (rows["k"] == blobs["__k"]) & (rows["__at"] == blobs["__seq"]), "left")
+        lost = F.raise_error(F.concat(F.lit("no blob of the key "), F.col("k"))).cast("string")
+        return rows.withColumn("v", F.when(F.col("__at").isNull(), F.col("v")).otherwise(F.coalesce("__v", lost))).select(*found.columns)
 
     def _beside(self, files: list[dict], what: str, schema: str) -> DataFrame:
         """What is stored beside the files, of these alone."""
@@ -170,7 +213,8 @@ class Store:
         return runs.find_block(index, self.may_hold(keys, version), ["file_id"])
 
     def get(self, key: str, version: int | None = None) -> DataFrame:
-        return reads.get(self._between(version, key, key), key)
+        files = self._between(version, key, key)
+        return self._values(reads.get(self._read(files), key), files, key, key)
 
     def read_length(self, key: str, version: int | None = None) -> DataFrame:
         """get, with the value's length in bytes."""
@@ -180,10 +224,12 @@ class Store:
         """Reads only files whose filter lets one of the keys pass; Parquet's own filters prune within them."""
         files = self.load(version)["files"]
         due = {r["file_id"] for r in self.may_hold(keys, version).select("file_id").distinct().collect()}  # files, not rows
-        return reads.multi_get(self._read([f for f in files if f["file_id"] in due]), keys)
+        files = [f for f in files if f["file_id"] in due]
+        return self._values(reads.multi_get(self._read(files), keys), files, keys=keys)
 
     def scan(self, start: str | None = None, end: str | None = None, version: int | None = None) -> DataFrame:
-        return reads.scan(self._between(version, start, end), start, end)
+        files = self._between(version, start, end)
+        return self._values(reads.scan(self._read(files), start, end), files, start, end).orderBy("k")
 
     def seek(self, prefix: str, version: int | None = None) -> DataFrame:
         return self.scan(prefix, reads.after_prefix(prefix), version)
@@ -211,6 +257,9 @@ class Store:
         for folder in {self._folder({"file_id": f}) for f in old - used} - live:
             for what in ("index", "filter"):
                 self.files.delete(f"{folder}-{what}")
+        pointed = lambda versions: {x for v in versions for f in self.load(v)["files"] for x in f.get("blobs", ())}
+        for x in pointed(v for v in known if v < keep) - pointed(v for v in known if v >= keep):
+            self.files.delete(f"{self.path}/blobs/{x}")
         for v in known:
             if v < keep:
                 self.files.delete(f"{self.path}/manifest/v{v}.json")
