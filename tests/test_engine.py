@@ -239,6 +239,20 @@ def test_filters_prune_files(spark, tmp_path):
     assert store.vacuum(store.versions()[-1]) > 0 and store.multi_get(asked).where("v = 'x'").count() == 10
 
 
+def test_runs_of_equal_and_missing_seq(spark):
+    rows = [(i // 3, f"k{i:03d}", "v" * 20) for i in range(90)] + [(None, "none", "v"), (None, "also", "v"), (4, "k012", "v" * 20)]
+    log = runs.sharded(make(spark, rows), 1)
+    got = runs.memtable_runs(log, Options(memtable_bytes=300)).collect()
+    assert sorted((r["seq"], r["k"]) for r in got if r["seq"] is not None) == sorted((a, k) for a, k, _ in rows if a is not None) and len(got) == len(rows)
+    run_of, held = {}, {}
+    for r in got:
+        assert run_of.setdefault(r["seq"], r["run_id"]) == r["run_id"]
+        held[r["run_id"]] = held.get(r["run_id"], 0) + r["z"]
+    assert max(held.values()) < 300 and sorted(held) == list(range(len(held)))
+    order = [run_of[s] for s in sorted(x for x in run_of if x is not None)]
+    assert order == sorted(order) and run_of[None] == 0
+
+
 def test_separated_values(spark, tmp_path):
     at = str(tmp_path / "s")
     store = Store(spark, at, Options(separate_from=100, level0_files=1))

@@ -46,8 +46,9 @@ class Rule:
         return out, held
 
 
-def fold(df: DataFrame, group: list[str], order: list[str], size: str, rule: Rule, out: str) -> DataFrame:
-    """df with `out`, the number of restarts in the row's group up to it."""
+def fold(df: DataFrame, group: list[str], order: list[str], size: str, rule: Rule, out: str, dealt: bool = False) -> DataFrame:
+    """df with `out`, the number of restarts in the row's group up to it. dealt: df was repartitioned by
+    group and has only been aggregated or folded since, so that each group is in one partition."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.LongType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -67,8 +68,9 @@ def fold(df: DataFrame, group: list[str], order: list[str], size: str, rule: Rul
                 number = int(found[hi - 1])
             yield rows.assign(**{out: found})
 
-    dealt = df.repartition(*group) if group else df.coalesce(1)
-    return dealt.sortWithinPartitions(*group, *order).mapInPandas(run, schema)
+    if not dealt:
+        df = df.repartition(*group) if group else df.coalesce(1)
+    return df.sortWithinPartitions(*group, *order).mapInPandas(run, schema)
 
 
 def fold_sql(rows: str, rule: Rule, out: str) -> str:

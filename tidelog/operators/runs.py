@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..codec import block, record
@@ -32,6 +32,19 @@ def oversized(log: DataFrame, opt: Options) -> DataFrame:
     return with_size(log).where(F.col("z") >= opt.memtable_bytes).withColumn("reason", F.lit("too large"))
 
 
+def in_write_order(rows: DataFrame, sizes: dict[str, Column], *folds: tuple[str, Rule, str]) -> DataFrame:
+    """rows (with shard) and, for each fold (size, rule, out), its number. A shard is folded in the order of seq,
+    so all of it that is dealt by shard and goes through Python is (shard, seq, sizes); rows, with their values,
+    meet the numbers by a join that any number of tasks share. Rows of one seq are one write and stay together."""
+    order = rows.select("shard", "seq", *(size.alias(name) for name, size in sizes.items())).repartition("shard")
+    order = order.groupBy("shard", "seq").agg(*(F.sum(name).alias(name) for name in sizes))
+    for size, rule, out in folds:
+        order = fold(order, ["shard"], ["seq"], size, rule, out, dealt=True)
+    at = order.select(F.col("shard").alias("__shard"), F.col("seq").alias("__seq"), *(out for _, _, out in folds))
+    met = rows.join(at, rows["shard"].eqNullSafe(at["__shard"]) & rows["seq"].eqNullSafe(at["__seq"]))
+    return met.drop("__shard", "__seq")
+
+
 def memtable_runs(log: DataFrame, opt: Options, rejects: str = "error") -> DataFrame:
     """log (with shard) and run_id: a run ends before the record that would fill the memtable. A record that
     no memtable can hold is an error, raised when it is met; with rejects="skip" the caller has taken
@@ -42,7 +55,7 @@ def memtable_runs(log: DataFrame, opt: Options, rejects: str = "error") -> DataF
     else:
         told = F.concat(F.lit(f"{RejectedRecord.__name__}: too large for a memtable: "), F.col("k"))
         rows = rows.withColumn("z", F.when(F.col("z") < opt.memtable_bytes, F.col("z")).otherwise(F.raise_error(told).cast("long")))
-    return fold(rows, ["shard"], ["seq"], "z", Rule(opt.memtable_bytes), "run_id")
+    return in_write_order(rows, {"z": F.col("z")}, ("z", Rule(opt.memtable_bytes), "run_id"))
 
 
 def flushed(runs: DataFrame) -> DataFrame:
@@ -170,10 +183,9 @@ def physically_deleted(log: DataFrame, keys: DataFrame) -> DataFrame:
 
 def wal(log: DataFrame, opt: Options) -> DataFrame:
     """log with flush_id (buffer writes), segment (in a ring) and segment_no, per shard."""
-    rows = with_size(log)
-    rows = fold(rows, ["shard"], ["seq"], "z", Rule(opt.wal_buffer_bytes, strict=True, extra=4), "flush_id")
-    rows = rows.withColumn("zw", F.col("z") + 4)
-    rows = fold(rows, ["shard"], ["seq"], "zw", Rule(opt.wal_segment_bytes, strict=True), "segment_no")
+    rows = with_size(log).withColumn("zw", F.col("z") + 4)
+    buffers, segments = Rule(opt.wal_buffer_bytes, strict=True, extra=4), Rule(opt.wal_segment_bytes, strict=True)
+    rows = in_write_order(rows, {"z": F.col("z"), "zw": F.col("zw")}, ("z", buffers, "flush_id"), ("zw", segments, "segment_no"))
     return rows.withColumn("segment", F.col("segment_no") % opt.wal_segments)
 
 
