@@ -196,6 +196,30 @@ def test_near_hot_groups(spark):
     assert near_dedup.keep_one(table).count() == 152
 
 
+@pytest.mark.parametrize("few", [0, 300, near_dedup.FEW_EDGES])
+def test_near_components(spark, monkeypatch, few):
+    """A long path and a random graph; what is left for one task takes no more queries, whatever its shape."""
+    made, keep = [], near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", lambda df, name: made.append(name) or keep(df, name))
+    monkeypatch.setattr(near_dedup, "FEW_EDGES", few)
+    rng = random.Random(4)
+    names = [rng.randrange(-BIG, BIG) for _ in range(1500)]
+    edges = [(names[i], names[i + 1]) for i in range(500)] + [(rng.choice(names[600:]), rng.choice(names[600:])) for _ in range(400)]
+    above = {x: {x} for e in edges if e[0] != e[1] for x in e}
+    for a, b in edges:
+        if a != b and above[a] is not above[b]:
+            above[a] |= above[b]
+            for x in above[b]:
+                above[x] = above[a]
+    rows = near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    got = defaultdict(set)
+    for r in rows:
+        got[r["label"]].add(r["node"])
+    assert len(rows) == len(above) and {frozenset(x) for x in got.values()} == {frozenset(x) for x in above.values()}
+    assert all(label in x for label, x in got.items())
+    assert len(made) == 3 or few < len(edges)
+
+
 # op 3
 
 

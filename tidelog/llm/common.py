@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import io
 import os
 import re
@@ -57,6 +58,13 @@ def release() -> None:
         trim.malloc_trim(0)
 
 
+def collect(spark: SparkSession) -> None:
+    """Has the driver collect its garbage. Broadcasts and shuffle files of queries that ended go no sooner,
+    and between many short queries the driver's heap would grow to its limit with them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Only where that is unset and all tasks run in the driver's own
     machine is a temporary one set; on a cluster executors wouldn't see each other's files there."""

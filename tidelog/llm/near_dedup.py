@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bagminhash import bands, multiset, shingles, signatures, similarity
-from .common import join_split, release, scratch, ship, stored, text_of
+from .common import collect, join_split, release, scratch, ship, stored, text_of
 from .exact_dedup import MAX_BROADCAST_IDS, without_ids
 
 THRESHOLD, LEAST = 0.8, 0.755
@@ -54,6 +54,8 @@ FIRST = (1, 8)
 #: Of all pairs, those whose signatures agree so well are verified first; trees that this joins need no more.
 STEPS = (1.0, 0.785, LEAST)
 CHUNK_DOCS, CHUNK_BYTES = 400, 3 << 19
+#: So many edges, 2 MB, are left to one task; contracting them further takes a dozen more queries.
+FEW_EDGES = 1 << 17
 
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list[str]]]:
@@ -162,21 +164,42 @@ def rooted(links: DataFrame) -> DataFrame:
                 return at
 
 
+def _joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each node of the edges (a, b) and the smallest that it is connected to."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (up := above.setdefault(x, x)) != x:
+            above[x] = x = above[up]
+        return x
+
+    for edges in batches:
+        for a, b in zip(edges["a"].tolist(), edges["b"].tolist()):
+            a, b = top(a), top(b)
+            above[max(a, b)] = min(a, b)
+    yield pd.DataFrame({"node": pd.Series(list(above), dtype="int64"), "to": pd.Series([top(x) for x in list(above)], dtype="int64")})
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of an undirected graph (a, b): every node hooks to its first neighbour in a random
-    order, hooked nodes are contracted, until no edge is left. Stored."""
+    order, hooked nodes are contracted, until at most FEW_EDGES are left, which one task joins. Stored."""
     with scratch(edges.sparkSession) as keep:
         edges = stored(edges.where("a <> b").select("a", "b").distinct(), "cc-edges")
         labels, turn = None, 0
-        while not edges.isEmpty():
-            both = edges.union(edges.select("b", "a"))
-            to = F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")
-            hook = both.groupBy(F.col("a").alias("node")).agg(to)
-            hook = stored(hook.select("node", F.when(F.xxhash64("to", F.lit(turn)) < F.xxhash64("node", F.lit(turn)), F.col("to")).otherwise(F.col("node")).alias("to")), "cc-hook")
+        while left := edges.count():
+            if left <= FEW_EDGES:
+                hook = stored(edges.coalesce(1).mapInPandas(_joined, "node long, to long"), "cc-hook")
+            else:
+                both = edges.union(edges.select("b", "a"))
+                to = F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("to")
+                hook = both.groupBy(F.col("a").alias("node")).agg(to)
+                hook = stored(hook.select("node", F.when(F.xxhash64("to", F.lit(turn)) < F.xxhash64("node", F.lit(turn)), F.col("to")).otherwise(F.col("node")).alias("to")), "cc-hook")
             if labels is None:
                 labels = hook.withColumnRenamed("to", "label")
             else:  # read when all turns are done: a turn has fewer nodes than the one before
                 labels = labels.join(hook.withColumnsRenamed({"node": "label", "to": "next"}), "label", "left").select("node", F.coalesce("next", "label").alias("label"))
+            if left <= FEW_EDGES:
+                break
             for c in "ab":
                 edges = edges.join(hook.withColumnsRenamed({"node": c, "to": f"{c}2"}), c)
             edges = stored(edges.where("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "cc-edges")
@@ -298,6 +321,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
         stars = stars.join(side("a"), "a").join(side("b"), "b").where(_sized(F.col("n_a"), F.col("n_b"))).select("a", "b", "sig_a", "sig_b")
         stars = stored(stars.mapInPandas(_estimates, "a long, b long, est double").where(F.col("est") >= LEAST).select("a", "b"), "near-stars")
         trees = rooted(verified(stars, texts_of))
+        collect(spark)
         turns = [*((LEAST, 2.0, top) for top in FIRST), *((least, 2.0 if most == 1.0 else most, 0) for most, least in zip(STEPS, STEPS[1:]))]
         for least, most, top in turns:
             with scratch(spark) as up:
@@ -305,6 +329,7 @@ def near_classes(docs: DataFrame) -> DataFrame:
                 links = stored(verified(cross.select("a", "b"), texts_of).join(cross, ["a", "b"]), "near-links")
                 if not links.isEmpty():
                     trees = up(merged(trees, links))
+            collect(spark)
         label = trees.select(F.col("row").alias("node"), F.col("root").alias("label"))
         classes = stored(texts.join(label, "node", "left").select("key", F.coalesce("label", "node").alias("label"), "size"), "near-classes")
         of = stored(join_split(rows.select("key", "row", "doc_id", "content"), classes, "key", "size").select("row", "doc_id", "content", "label"), "near-rows")

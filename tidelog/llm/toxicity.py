@@ -295,7 +295,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, most
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> Model:
-    return train(training_rows(docs, labels, most))
+    model = train(training_rows(docs, labels, most))
+    release()  # the driver's Python lives on
+    return model
 
 
 def score(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
