@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,8 @@ from .reads import newest
 
 #: Ends of key ranges that one look-up sends to tasks.
 MAX_FENCES = 2_000_000
+#: Pairs of files that a task of a look-up makes, unless the tasks would be more than MAX_TASKS.
+PAIRS_A_TASK, MAX_TASKS = 1_000_000, 2000
 
 
 def sharded(log: DataFrame, n: int) -> DataFrame:
@@ -139,15 +143,51 @@ def find_files(meta: DataFrame, keys: DataFrame) -> DataFrame:
     return met.where((F.col("mn") <= F.col("k")) & (F.col("k") <= F.col("mx"))).drop("slot")
 
 
+def rows_of(meta: DataFrame) -> pa.Table:
+    """The rows of a manifest, a row a file, on the driver; more than MAX_FENCES ends are an error."""
+    rows = meta.limit(MAX_FENCES // 2 + 1).toArrow()
+    if 2 * rows.num_rows > MAX_FENCES:
+        raise StoreError(f"more than {MAX_FENCES} ends of key ranges")
+    return rows
+
+
+def gathered(meta: DataFrame) -> DataFrame:
+    """The manifest computed once, for the plans that read it several times."""
+    return meta.sparkSession.createDataFrame(rows_of(meta))
+
+
+def ranked(*metas: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each manifest the ends of its files' ranges (mn, mx) as their ranks among all ends, in key order."""
+    ends = [m[c].to_pylist() for m in metas for c in ("mn", "mx")]
+    rank = {k: i for i, k in enumerate(sorted(set().union(*ends)))}
+    at = [np.fromiter((rank[k] for k in held), np.int64, len(held)) for held in ends]
+    return list(zip(at[::2], at[1::2]))
+
+
+def _starting(spark, x: tuple, y: tuple, first: str, last: str, names: tuple[str, str]) -> DataFrame:
+    """Pairs of the files x and y, each (ids, mn, mx): those of y whose mn is in x's range, found as a stretch of
+    y in the order of mn. So there is a row for each pair, and none besides."""
+    order = np.argsort(y[1], kind="stable")
+    lo, hi = (np.searchsorted(y[1][order], end, side=side) for end, side in ((x[1], first), (x[2], last)))
+    some = np.flatnonzero(hi > lo)
+    spans = spark.createDataFrame(pa.table({names[0]: pa.array(x[0]).take(pa.array(some)), "x_mn": x[1][some], "lo": lo[some], "hi": hi[some] - 1}))
+    at = spark.createDataFrame(pa.table({"at": np.arange(len(order)), names[1]: pa.array(y[0]).take(pa.array(order)), "y_mx": y[2][order]}))
+    tasks = min(MAX_TASKS, 1 + int((hi - lo)[some].sum()) // PAIRS_A_TASK)
+    return spans.repartition(tasks).withColumn("at", F.explode(F.sequence("lo", "hi"))).join(F.broadcast(at), "at")
+
+
 def overlaps(a: DataFrame, b: DataFrame, closed: bool) -> DataFrame:
-    """Pairs of files (a_id, b_id) whose key ranges overlap; touching ends count only if closed. They share
-    slots between ends, and a pair comes from the first that it shares."""
-    slot = slots(fences_of(a, b))
-    x, y = (_covering(t.select(F.col("file_id").alias(f"{n}_id"), "mn", "mx"), slot).withColumnsRenamed({"mn": f"{n}_mn", "mx": f"{n}_mx", "first": f"{n}_first"}) for t, n in ((a, "a"), (b, "b")))
-    met = x.join(y, "slot").where(F.col("slot") == F.greatest("a_first", "b_first"))
+    """Pairs of files (a_id, b_id) whose key ranges overlap; touching ends count only if closed. Of a pair one
+    range starts in the other: b's in a's, or else a's in b's after its start. The work is that of the pairs."""
+    x = rows_of(a.select("file_id", "mn", "mx"))
+    y = x if a is b else rows_of(b.select("file_id", "mn", "mx"))
+    (x_ends, y_ends), spark = ranked(x, y), a.sparkSession
+    x, y = (x["file_id"].combine_chunks(), *x_ends), (y["file_id"].combine_chunks(), *y_ends)
+    within = _starting(spark, x, y, "left", "right" if closed else "left", ("a_id", "b_id"))
     if not closed:
-        met = met.where((F.col("a_mn") < F.col("b_mx")) & (F.col("b_mn") < F.col("a_mx")))
-    return met.where((F.col("a_mn") <= F.col("b_mx")) & (F.col("b_mn") <= F.col("a_mx"))).select("a_id", "b_id")
+        within = within.where(F.col("x_mn") < F.col("y_mx"))
+    after = _starting(spark, y, x, "right", "right" if closed else "left", ("b_id", "a_id"))
+    return within.select("a_id", "b_id").union(after.select("a_id", "b_id"))
 
 
 def index_partitions(index: DataFrame, by: list[str], blocks: int) -> DataFrame:
