@@ -53,6 +53,17 @@ def test_overlaps_make_no_other_rows(spark):
     assert "slot" not in found._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_plan(spark, case, monkeypatch):
+    monkeypatch.setattr(compaction, "PLAN_BYTES", 500)  # many small batches
+    monkeypatch.setattr(compaction, "VICTIMS_A_TASK", 30)
+    rows, df = manifest(spark, *case)
+    found = compaction.plan(df, OPT)
+    assert sorted(map(tuple, found.collect())) == sorted(jobs_of(rows))
+    text = found._jdf.queryExecution().toString()
+    assert "Join" not in text and "Aggregate" not in text  # jobs are not put together from pairs
+
+
 def test_too_many_files(spark, monkeypatch):
     monkeypatch.setattr(runs, "MAX_FENCES", 20)
     files = spark.range(11).select(F.col("id").cast("string").alias("file_id"), F.lit("a").alias("mn"), F.lit("b").alias("mx"))

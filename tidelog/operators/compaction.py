@@ -7,12 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..model import TOMBSTONE, Options
-from .runs import overlaps
+from . import runs
+
+#: Jobs of a plan that a task makes, and bytes of them that it sends at a time.
+VICTIMS_A_TASK, PLAN_BYTES = 250, 4 << 20
 
 
 def level_target(opt: Options, level: Column) -> Column:
@@ -27,20 +31,68 @@ def triggers(manifest: DataFrame, opt: Options) -> DataFrame:
     return per.withColumn("due", due)
 
 
+class Files:
+    """Files in the order of mn (ids and ends as numbers), to be asked which of them a range meets, ends included."""
+
+    def __init__(self, ids: np.ndarray, mn: np.ndarray, mx: np.ndarray):
+        order = np.argsort(mn, kind="stable")
+        self.ids, self.mn, self.mx = ids[order], mn[order], mx[order]
+        self.reach = np.maximum.accumulate(self.mx)
+
+    def meeting(self, mn: int, mx: int) -> np.ndarray:
+        lo, hi = np.searchsorted(self.reach, mn, side="left"), np.searchsorted(self.mn, mx, side="right")
+        return self.ids[lo:hi][self.mx[lo:hi] >= mn]
+
+
+class Manifest:
+    """A manifest on the driver: files in the order of their names, ends of ranges as ranks, and the files of each
+    level. Victims (the files of due levels) are their numbers, lowest level first."""
+
+    def __init__(self, manifest: DataFrame, opt: Options):
+        held = runs.rows_of(manifest.select("file_id", "level", "mn", "mx"))
+        held = held.take(pa.array(sorted(range(held.num_rows), key=held["file_id"].to_pylist().__getitem__), pa.int64()))
+        self.names, self.levels = held["file_id"].to_pylist(), held["level"].to_numpy().astype(np.int64)
+        self.kind = dict(manifest.dtypes)["level"]
+        ((self.mn, self.mx),) = runs.ranked(held)
+        self.of = {int(x): Files(at, self.mn[at], self.mx[at]) for x in np.unique(self.levels) for at in [np.flatnonzero(self.levels == x)]}
+        due = triggers(manifest.sparkSession.createDataFrame(held.select(["level"])), opt).where("due").select("level").collect()
+        due = sorted(r["level"] for r in due if r["level"] < opt.levels - 1)
+        self.victims = np.concatenate([np.empty(0, np.int64), *(np.flatnonzero(self.levels == x) for x in due)])
+
+    def inputs(self, victim: int) -> np.ndarray:
+        """The other files of a victim's job, in the order of their names."""
+        level, none = int(self.levels[victim]), np.empty(0, np.int64)
+        found = [self.of[x].meeting(self.mn[victim], self.mx[victim]) if x in self.of else none for x in ((0, 1) if level == 0 else (level + 1,))]
+        found = np.sort(np.concatenate(found))
+        return found[found != victim]
+
+    def job(self, victim: int) -> tuple:
+        level, inputs = int(self.levels[victim]), self.inputs(victim)
+        return self.names[victim], level, level + 1, ",".join(map(self.names.__getitem__, inputs.tolist())), level > 0 and not len(inputs)
+
+
 def plan(manifest: DataFrame, opt: Options) -> DataFrame:
     """(job, victim, start_level, end_level, inputs, trivial): one job per file of a due level; inputs are the
     files of the next level, and for level 0 of level 0 itself, that overlap it. Lowest level first. A job
-    without other inputs below level 0 is a move in the manifest."""
-    due = triggers(manifest, opt).where("due").select("level")
-    victims = manifest.join(due, "level").where(F.col("level") < opt.levels - 1)
-    v = victims.select("file_id", "mn", "mx")
-    met = overlaps(v, manifest, closed=True)
-    levels = manifest.select(F.col("file_id").alias("b_id"), F.col("level").alias("b_level"))
-    met = met.where("a_id <> b_id").join(levels, "b_id").join(victims.select(F.col("file_id").alias("a_id"), F.col("level").alias("a_level")), "a_id")
-    met = met.where((F.col("b_level") == F.col("a_level") + 1) | ((F.col("a_level") == 0) & (F.col("b_level") == 0)))
-    inputs = met.groupBy("a_id").agg(F.array_sort(F.collect_list("b_id")).alias("inputs"))
-    jobs = victims.join(inputs, victims["file_id"] == inputs["a_id"], "left").withColumn("inputs", F.coalesce("inputs", F.array().cast("array<string>")))
-    return jobs.select(F.col("file_id").alias("victim"), F.col("level").alias("start_level"), (F.col("level") + 1).alias("end_level"), F.array_join("inputs", ",").alias("inputs"), ((F.size("inputs") == 0) & (F.col("level") > 0)).alias("trivial"))
+    without other inputs below level 0 is a move in the manifest. The tasks have the manifest and make a share of
+    the jobs each, so a job is never pieced together from pairs."""
+    spark, known = manifest.sparkSession, Manifest(manifest, opt)
+    sent = spark.sparkContext.broadcast(known)
+    columns = ["victim", "start_level", "end_level", "inputs", "trivial"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, size = [], 0
+        for rows in batches:
+            for victim in rows["at"].tolist():
+                out.append(sent.value.job(victim))
+                size += len(out[-1][3]) + 100
+                if size > PLAN_BYTES:
+                    yield pd.DataFrame(out, columns=columns)
+                    out, size = [], 0
+        yield pd.DataFrame(out, columns=columns)
+
+    at = spark.createDataFrame(pa.table({"at": known.victims})).repartition(1 + len(known.victims) // VICTIMS_A_TASK)
+    return at.mapInPandas(run, f"victim string, start_level {known.kind}, end_level {known.kind}, inputs string, trivial boolean")
 
 
 def touching(files: list[dict]) -> list[list[dict]]:

@@ -214,7 +214,7 @@ LEVELS = META + ", man AS (SELECT file_id, run_id % 3 AS level, mn, mx, n, bytes
 
 def _manifest(spark, sf):
     """A manifest of the runs, dealt to three levels."""
-    return _meta(spark, sf).select("file_id", (F.col("run_id") % 3).alias("level"), "mn", "mx", "n", "bytes", "newest")
+    return runs.gathered(_meta(spark, sf)).select("file_id", (F.col("run_id") % 3).alias("level"), "mn", "mx", "n", "bytes", "newest")
 
 
 for _closed, _name in ((False, "overlap_strict"), (True, "overlap_closed")):
