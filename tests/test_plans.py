@@ -64,6 +64,14 @@ def test_plan(spark, case, monkeypatch):
     assert "Join" not in text and "Aggregate" not in text  # jobs are not put together from pairs
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_moves(spark, case):
+    rows, df = manifest(spark, *case)
+    got = compaction.move(df, compaction.moves(df, OPT)).select("file_id", "level").collect()
+    to = {f: end for f, _, end, _, trivial in jobs_of(rows) if trivial}
+    assert sorted(map(tuple, got)) == sorted((f, to.get(f, level)) for f, level, _, _ in rows)
+
+
 def test_too_many_files(spark, monkeypatch):
     monkeypatch.setattr(runs, "MAX_FENCES", 20)
     files = spark.range(11).select(F.col("id").cast("string").alias("file_id"), F.lit("a").alias("mn"), F.lit("b").alias("mx"))

@@ -37,12 +37,16 @@ class Files:
     def __init__(self, ids: np.ndarray, mn: np.ndarray, mx: np.ndarray):
         order = np.argsort(mn, kind="stable")
         self.ids, self.mn, self.mx = ids[order], mn[order], mx[order]
-        self.reach = np.maximum.accumulate(self.mx)
+        self.reach, self.ends = np.maximum.accumulate(self.mx), np.sort(mx)
 
     def meeting(self, mn: int, mx: int) -> np.ndarray:
         lo, hi = np.searchsorted(self.reach, mn, side="left"), np.searchsorted(self.mn, mx, side="right")
         return self.ids[lo:hi][self.mx[lo:hi] >= mn]
 
+    def met(self, mn: np.ndarray, mx: np.ndarray) -> np.ndarray:
+        """How many files each of the ranges meets: those that start up to its end, less those that end before it."""
+        return np.searchsorted(self.mn, mx, side="right") - np.searchsorted(self.ends, mn, side="left")
+
 
 class Manifest:
     """A manifest on the driver: files in the order of their names, ends of ranges as ranks, and the files of each
@@ -95,6 +99,18 @@ def plan(manifest: DataFrame, opt: Options) -> DataFrame:
     return at.mapInPandas(run, f"victim string, start_level {known.kind}, end_level {known.kind}, inputs string, trivial boolean")
 
 
+def moves(manifest: DataFrame, opt: Options) -> DataFrame:
+    """(victim, end_level) of the trivial jobs of the plan: the files are counted that a victim meets, not listed."""
+    known = Manifest(manifest, opt)
+    alone = [np.empty(0, np.int64)]
+    for level in np.unique(known.levels[known.victims]).tolist():
+        at = known.victims[known.levels[known.victims] == level]
+        if level > 0:
+            alone.append(at[known.of[level + 1].met(known.mn[at], known.mx[at]) == 0] if level + 1 in known.of else at)
+    rows = [(known.names[x], int(known.levels[x]) + 1) for x in np.concatenate(alone).tolist()]
+    return manifest.sparkSession.createDataFrame(rows, f"victim string, end_level {known.kind}")
+
+
 def touching(files: list[dict]) -> list[list[dict]]:
     """Manifest rows in groups, in key order: ranges of different groups share no key (ends included)."""
     out: list[list[dict]] = []
@@ -178,9 +194,9 @@ def split(merged: DataFrame, by: list[str], opt: Options) -> DataFrame:
     return merged.repartition(*by).sortWithinPartitions(*by, "k").mapInPandas(run, schema)
 
 
-def move(manifest: DataFrame, jobs: DataFrame) -> DataFrame:
-    """The manifest after the trivial jobs: levels change, no file is rewritten."""
-    moved = jobs.where("trivial").select(F.col("victim").alias("file_id"), "end_level")
+def move(manifest: DataFrame, moves: DataFrame) -> DataFrame:
+    """The manifest after the moves: levels change, no file is rewritten."""
+    moved = moves.select(F.col("victim").alias("file_id"), "end_level")
     return manifest.join(moved, "file_id", "left").withColumn("level", F.coalesce("end_level", "level")).drop("end_level")
 
 

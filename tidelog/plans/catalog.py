@@ -248,7 +248,7 @@ def _(spark, sf):
 @query("compact_trivial_move", f"WITH RECURSIVE {LEVELS} {PLAN} SELECT m.file_id, coalesce(j.end_level, m.level) AS level, m.mn, m.mx, m.n, m.bytes, m.newest FROM man m LEFT JOIN jobs j ON j.victim = m.file_id AND j.trivial")
 def _(spark, sf):
     manifest = _manifest(spark, sf)
-    return compaction.move(manifest, compaction.plan(manifest, OPT))
+    return compaction.move(manifest, compaction.moves(manifest, OPT))
 
 
 @query("compact_merge", f"""WITH RECURSIVE {FLUSHED}, dated AS (SELECT *, max(seq) OVER (PARTITION BY shard, run_id) AS newest FROM flushed),
