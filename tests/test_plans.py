@@ -72,6 +72,18 @@ def test_moves(spark, case):
     assert sorted(map(tuple, got)) == sorted((f, to.get(f, level)) for f, level, _, _ in rows)
 
 
+@pytest.mark.parametrize("case", CASES)
+def test_jobs(spark, case):
+    rows, df = manifest(spark, *case)
+    taken, want = set(), []
+    for f, level, end, inputs, trivial in sorted(jobs_of(rows), key=lambda r: (r[1], r[0])):
+        files = {f, *filter(None, inputs.split(","))}
+        if not files & taken and not (level == 0 and want and want[0][2] == 0):
+            taken |= files
+            want.append((len(want), f, level, end, inputs, trivial))
+    assert sorted(map(tuple, compaction.jobs(df, OPT).collect())) == want
+
+
 def test_too_many_files(spark, monkeypatch):
     monkeypatch.setattr(runs, "MAX_FENCES", 20)
     files = spark.range(11).select(F.col("id").cast("string").alias("file_id"), F.lit("a").alias("mn"), F.lit("b").alias("mx"))

@@ -3,6 +3,7 @@ one manifest version and hold no state."""
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,23 +125,25 @@ def touching(files: list[dict]) -> list[list[dict]]:
     return out
 
 
-def jobs(plan: DataFrame) -> DataFrame:
-    """The jobs of a plan (a row a file of due levels) that can run together, with their place in the queue:
-    lowest level first, then by victim; at most one of level 0, and none that has a file of one before it."""
-    schema = "place long, victim string, start_level long, end_level long, inputs string, trivial boolean"
-
-    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
-        taken, out, zero = set(), [], False
-        for r in rows.sort_values(["start_level", "victim"]).itertuples(index=False):
-            files = {r.victim, *filter(None, r.inputs.split(","))}
-            if files & taken or (zero and r.start_level == 0):
-                continue
-            taken |= files
-            zero = zero or r.start_level == 0
-            out.append((len(out), r.victim, r.start_level, r.end_level, r.inputs, r.trivial))
-        return pd.DataFrame(out, columns=["place", "victim", "start_level", "end_level", "inputs", "trivial"])
-
-    return plan.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(chosen, schema)  # manifest rows
+def jobs(manifest: DataFrame, opt: Options) -> DataFrame:
+    """The jobs of the plan that can run together, with their place in the queue: lowest level first, then by
+    victim; at most one of level 0, and none that has a file of one before it. What a job would take is counted by
+    the ends of the files taken on its levels; only the jobs that are chosen list their files, each file once."""
+    known, out, zero = Manifest(manifest, opt), [], False
+    taken = np.zeros(len(known.names), bool)
+    starts, ends = ({x: [] for x in range(opt.levels + 1)} for _ in range(2))
+    for victim in known.victims.tolist():
+        level, mn, mx = int(known.levels[victim]), int(known.mn[victim]), int(known.mx[victim])
+        met = any(bisect_right(starts[x], mx) > bisect_left(ends[x], mn) for x in ((0, 1) if level == 0 else (level + 1,)))
+        if taken[victim] or met or (zero and level == 0):
+            continue
+        zero = zero or level == 0
+        for x in (victim, *known.inputs(victim).tolist()):
+            taken[x] = True
+            insort(starts[int(known.levels[x])], int(known.mn[x]))
+            insort(ends[int(known.levels[x])], int(known.mx[x]))
+        out.append((len(out), *known.job(victim)))
+    return manifest.sparkSession.createDataFrame(out, "place long, victim string, start_level long, end_level long, inputs string, trivial boolean")
 
 
 def merge(rows: DataFrame, bottom: bool) -> DataFrame:

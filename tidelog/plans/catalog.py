@@ -638,7 +638,7 @@ g AS (SELECT 0::BIGINT AS rn, []::VARCHAR[] AS taken, false AS zero, false AS ok
 @query("compact_jobs", f"WITH RECURSIVE {LEVELS} {JOBS} SELECT row_number() OVER (ORDER BY q.rn) - 1 AS place, victim, start_level, end_level, inputs, trivial FROM q JOIN g ON g.rn = q.rn AND g.ok")
 def _(spark, sf):
     """The jobs of a plan that can run together."""
-    return compaction.jobs(compaction.plan(_manifest(spark, sf), OPT))
+    return compaction.jobs(_manifest(spark, sf), OPT)
 
 
 @query("stream_upsert", ORACLES["kv_delete_live"])
