@@ -143,6 +143,14 @@ def find_files(meta: DataFrame, keys: DataFrame) -> DataFrame:
     return met.where((F.col("mn") <= F.col("k")) & (F.col("k") <= F.col("mx"))).drop("slot")
 
 
+def touched(meta: DataFrame, keys: DataFrame) -> DataFrame:
+    """(k, touched) of the keys that are in some file's range, and in how many: those that start up to the key less
+    those that end before it. No pair is made."""
+    ends = rows_of(meta.select("mn", "mx"))
+    mn, mx = (sorted(ends[c].to_pylist()) for c in ("mn", "mx"))
+    return keys.select("k", (slots(mn)(F.col("k")) - slots(mx, "left")(F.col("k"))).alias("touched")).where("touched > 0")
+
+
 def rows_of(meta: DataFrame) -> pa.Table:
     """The rows of a manifest, a row a file, on the driver; more than MAX_FENCES ends are an error."""
     rows = meta.limit(MAX_FENCES // 2 + 1).toArrow()

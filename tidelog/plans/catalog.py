@@ -199,14 +199,21 @@ def _meta(spark, sf):
     return meta.withColumn("file_id", F.concat_ws("/", F.col("shard").cast("string"), F.col("run_id").cast("string")))
 
 
+def _kept(spark, sf):
+    """The flushed runs, written once and read again by each use."""
+    at = scratch(spark, "runs")
+    _flushed(spark, sf).select(*BY, "k", "seq", "z").write.parquet(at)
+    return spark.read.parquet(at)
+
+
 @query("sst_lookup", f"""WITH RECURSIVE {META}, asked AS (SELECT DISTINCT 'user:' || lpad(c_custkey::VARCHAR, 6, '0') AS k FROM customer WHERE c_custkey IS NOT NULL),
 hit AS (SELECT a.k, m.file_id, m.shard, m.run_id FROM asked a JOIN meta m ON a.k BETWEEN m.mn AND m.mx)
 SELECT h.k, count(*) AS touched, count(f.k) AS hits FROM hit h LEFT JOIN flushed f ON f.shard = h.shard AND f.run_id = h.run_id AND f.k = h.k GROUP BY h.k""")
 def _(spark, sf):
     """Read amplification: files whose range holds the key, and those that have it."""
-    flushed = _flushed(spark, sf).select("shard", "run_id", "k", F.lit(1).alias("has"))
-    hit = runs.find_files(_meta(spark, sf), customer_keys(spark, sf)).select("k", "shard", "run_id")
-    return hit.join(flushed, ["shard", "run_id", "k"], "left").groupBy("k").agg(F.count("*").alias("touched"), F.count("has").alias("hits"))
+    keys, flushed = customer_keys(spark, sf), _kept(spark, sf)
+    hits = flushed.join(keys, "k", "left_semi").groupBy("k").agg(F.count("*").alias("hits"))
+    return runs.touched(runs.file_meta(flushed, BY), keys).join(hits, "k", "left").select("k", "touched", F.coalesce("hits", F.lit(0).cast("long")).alias("hits"))
 
 
 LEVELS = META + ", man AS (SELECT file_id, run_id % 3 AS level, mn, mx, n, bytes, newest FROM meta)"
