@@ -15,6 +15,27 @@ def runs_of(spark):
     return held, spark.createDataFrame(held, "shard long, run_id long, k string"), asked, spark.createDataFrame([(k,) for k in asked], "k string")
 
 
+@pytest.mark.parametrize("cell", [(4, 30, 50), (4096, 50_000, 200_000)])
+@pytest.mark.parametrize("blocked", [False, True])
+def test_probed(spark, blocked, cell, monkeypatch):
+    for name, n in zip(("RUNS_A_CELL", "KEYS_A_CELL", "ROWS_A_BATCH"), cell):
+        monkeypatch.setattr(pruning, name, n)
+    by = ["shard", "run_id"]
+    held, files, asked, keys = runs_of(spark)
+    found = pruning.probed(files, keys, by, blocked)
+    got = sorted(map(tuple, found.collect()))
+    ends = {}
+    for s, r, k in held:
+        lo, hi = ends.get((s, r), (k, k))
+        ends[s, r] = min(lo, k), max(hi, k)
+    pairs = [(s, r, k) for (s, r), (lo, hi) in ends.items() for k in asked if k and lo <= k <= hi]
+    hit = spark.createDataFrame(pairs, "shard long, run_id long, k string")
+    old = pruning.blocked_may_contain(pruning.blocked_blooms(files, by), hit, by) if blocked else pruning.may_contain(pruning.run_blooms(files, by), hit, by)
+    maybe, own = {tuple(r)[:3]: r["maybe"] for r in old.collect()}, set(held)
+    assert got == sorted((*p, maybe[p], p in own) for p in pairs) and {g[3:] for g in got} >= {(True, True), (False, False)}
+    assert found.rdd.getNumPartitions() == -(-len(ends) // cell[0]) * (1 + len([k for k in asked if k]) // cell[1])  # keys and runs meet in cells
+
+
 def test_touched_makes_no_pairs(spark):
     held, files, asked, keys = runs_of(spark)
     meta = files.withColumns({"seq": F.lit(1), "z": F.lit(1)}).transform(lambda f: runs.file_meta(f, ["shard", "run_id"]))

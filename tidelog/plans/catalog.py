@@ -412,10 +412,6 @@ BLOOM = f"""{META}, {HIT}, {murmur_sql("SELECT k FROM every", pruning.HASHES)},
 bits AS (SELECT DISTINCT f.shard, f.run_id, m.h % s.bits AS at FROM flushed f JOIN sized s ON s.shard = f.shard AND s.run_id = f.run_id JOIN murmur m ON m.k = f.k)"""
 
 
-def _hit(spark, sf):
-    return runs.find_files(_meta(spark, sf), customer_keys(spark, sf)).select(*BY, "k")
-
-
 @query("bloom_build", f"WITH RECURSIVE {BLOOM.replace('sized AS (SELECT shard, run_id', 'bsize AS (SELECT shard, run_id').replace('JOIN sized s ON', 'JOIN bsize s ON')} SELECT s.shard, s.run_id, s.bits, count(b.at) AS n_set FROM bsize s JOIN bits b ON b.shard = s.shard AND b.run_id = s.run_id GROUP BY s.shard, s.run_id, s.bits")
 def _(spark, sf):
     """Filters as they are stored and read again: their size and how many bits are set."""
@@ -428,16 +424,11 @@ def _(spark, sf):
 HAS = "SELECT x.shard, x.run_id, x.k, x.maybe, f.k IS NOT NULL AS has FROM maybe x LEFT JOIN flushed f ON f.shard = x.shard AND f.run_id = x.run_id AND f.k = x.k"
 
 
-def _with_has(found, flushed):
-    return found.join(flushed.select(*BY, "k", F.lit(True).alias("has")), [*BY, "k"], "left").withColumn("has", F.coalesce("has", F.lit(False)))
-
-
 @query("bloom_prune", f"""WITH RECURSIVE {BLOOM.replace('sized AS (SELECT shard, run_id', 'bsize AS (SELECT shard, run_id').replace('JOIN sized s ON', 'JOIN bsize s ON')},
 maybe AS (SELECT h.shard, h.run_id, h.k, bool_and(b.at IS NOT NULL) AS maybe FROM hit h JOIN bsize s ON s.shard = h.shard AND s.run_id = h.run_id JOIN murmur m ON m.k = h.k LEFT JOIN bits b ON b.shard = h.shard AND b.run_id = h.run_id AND b.at = m.h % s.bits GROUP BY h.shard, h.run_id, h.k) {HAS}""")
 def _(spark, sf):
     """Per key asked and run whose range holds it: whether the filter lets it pass, and whether the run has it."""
-    flushed = _flushed(spark, sf)
-    return _with_has(pruning.may_contain(pruning.run_blooms(flushed, BY), _hit(spark, sf), BY), flushed)
+    return pruning.probed(_kept(spark, sf), customer_keys(spark, sf), BY)
 
 
 FNV_KEY = f"list_reduce(list_concat([14695981039346656037::HUGEINT], {_bytes('k', 'HUGEINT')}), lambda h, b: (xor(h, b) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT)"
@@ -449,8 +440,7 @@ bits AS (SELECT DISTINCT f.shard, f.run_id, p.h % s.buckets AS bucket, p.bit FRO
 maybe AS (SELECT h.shard, h.run_id, h.k, bool_and(b.bit IS NOT NULL) AS maybe FROM hit h JOIN bsize s ON s.shard = h.shard AND s.run_id = h.run_id JOIN probes p ON p.k = h.k
   LEFT JOIN bits b ON b.shard = h.shard AND b.run_id = h.run_id AND b.bucket = p.h % s.buckets AND b.bit = p.bit GROUP BY h.shard, h.run_id, h.k) {HAS}""")
 def _(spark, sf):
-    flushed = _flushed(spark, sf)
-    return _with_has(pruning.blocked_may_contain(pruning.blocked_blooms(flushed, BY), _hit(spark, sf), BY), flushed)
+    return pruning.probed(_kept(spark, sf), customer_keys(spark, sf), BY, blocked=True)
 
 
 # snapshots
