@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_UNIT = (1 << 16) - 1
+#: Bytes of blocks that a task decodes at a time.
+SLICE_BYTES = 1 << 20
 
 
 def _u16(n: Column) -> Column:
@@ -63,6 +67,16 @@ def read_block(buffer: bytes, units: int = 2) -> tuple[list[list[bytes]], int]:
     return out, at
 
 
+def sliced(rows: pa.RecordBatch, payload: str) -> Iterator[pa.RecordBatch]:
+    """rows in slices of about SLICE_BYTES of payload, one row at least: records as Python's objects take many times
+    their bytes, so only a slice's are held at once."""
+    sizes = np.array([x or 0 for x in pc.binary_length(rows.column(payload)).to_pylist()], np.int64)
+    slots = np.cumsum(sizes) // SLICE_BYTES
+    cuts = [0, *(np.flatnonzero(slots[1:] != slots[:-1]) + 1).tolist(), rows.num_rows]
+    for lo, hi in zip(cuts, cuts[1:]):
+        yield rows.slice(lo, hi - lo)
+
+
 def decoded(blocks: DataFrame, payload: str, names: list[str]) -> DataFrame:
     """A row for each record of each block: the block's other columns, `pos` in the block, and the record's
     units as strings by name."""
@@ -70,16 +84,17 @@ def decoded(blocks: DataFrame, payload: str, names: list[str]) -> DataFrame:
     schema = T.StructType([*others, T.StructField("pos", T.IntegerType()), *(T.StructField(n, T.StringType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of, pos, units = [], [], [[] for _ in names]
-            for k, x in enumerate(b.column(payload)):
-                records, _ = read_block(x.as_py() or b"", len(names))
-                of += [k] * len(records)
-                pos += range(len(records))
-                for r in records:
-                    for o, u in zip(units, r):
-                        o.append(u.decode())
-            held = b.select([f.name for f in others]).take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(pos, pa.int32()), *(pa.array(o, pa.string()) for o in units)], names=[*(f.name for f in others), "pos", *names])
+        for whole in batches:
+            for b in sliced(whole, payload):
+                of, pos, units = [], [], [[] for _ in names]
+                for k, x in enumerate(b.column(payload)):
+                    records, _ = read_block(x.as_py() or b"", len(names))
+                    of += [k] * len(records)
+                    pos += range(len(records))
+                    for r in records:
+                        for o, u in zip(units, r):
+                            o.append(u.decode())
+                held = b.select([f.name for f in others]).take(pa.array(of, pa.int64()))
+                yield pa.RecordBatch.from_arrays([*held.columns, pa.array(pos, pa.int32()), *(pa.array(o, pa.string()) for o in units)], names=[*(f.name for f in others), "pos", *names])
 
     return blocks.select(*(f.name for f in others), payload).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import codec
@@ -64,13 +64,16 @@ class Wal:
         return self.spark.read.schema(ROWS).option("basePath", at).parquet(at) if self.files.exists(at) else None
 
     def whole(self) -> DataFrame:
-        """The buffers before the first one of each shard whose bytes aren't those that were written."""
+        """The buffers before the first one of each shard whose bytes aren't those that were written.
+        The ends come first, a row a shard; payloads stay where they are read."""
         held = self.rows()
         if held is None:
             return self.spark.createDataFrame([], ROWS)
-        order = Window.partitionBy("shard").orderBy("append", "segment_no", "flush_id")
-        torn = (F.crc32("payload") != F.col("checksum")) | F.col("payload").isNull()
-        return held.withColumn("torn", F.max(torn).over(order)).where("NOT torn").drop("torn")
+        at = F.struct("append", "segment_no", "flush_id")
+        torn = held.where((F.crc32("payload") != F.col("checksum")) | F.col("payload").isNull())
+        ends = F.broadcast(torn.groupBy(F.col("shard").alias("__shard")).agg(F.min(at).alias("__end")))  # a row a shard
+        met = held.join(ends, held["shard"].eqNullSafe(ends["__shard"]), "left")
+        return met.where(F.col("__end").isNull() | (at < F.col("__end"))).drop("__shard", "__end")
 
     def replay(self) -> DataFrame:
         """The log as it was written, up to a torn end: (seq, k, v, op, ts), and shard."""
