@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from .functions.hashing import fnv1a_64
 from .model import LARGE, LOG, TOMBSTONE, Options, ProtectedResource, StoreError, checked
@@ -25,6 +26,8 @@ from .paths import Paths
 
 #: Up to this size files that compaction writes have the small fixed filter.
 SMALL_FILE = 1 << 20
+#: Files that a task of a flush or compaction writes at most, about.
+FILES_A_TASK = 16
 #: Starts a pointer, "<POINTER><folder>:<seq>:<length>"; a value that starts so itself is always separated.
 POINTER = "\x01>"
 ROW = "file_id string, level int, mn string, mx string, n long, bytes long, newest long"
@@ -65,22 +68,35 @@ class Store:
 
     # writes
 
-    def _write(self, rows: DataFrame, level: int, n: int, by: tuple[str, ...] = ()) -> list[dict]:
+    def _sorted(self, rows: DataFrame, folder: str, n: int, records: int, by: tuple[str, ...] = (), filtered: bool = True) -> None:
+        """rows (records at most) as about n sorted files with disjoint ranges in a new folder. A task writes up to
+        FILES_A_TASK of them one after the other, so that tasks and blocks of the exchange grow slower than files."""
+        tasks = -(-n // FILES_A_TASK)
+        cut = rows.repartitionByRange(tasks, "k").sortWithinPartitions(*by, "k")
+        # the folder is unknown to readers before a manifest has it, so tasks may commit into it by themselves
+        out = cut.write.partitionBy(*by).option("mapreduce.fileoutputcommitter.algorithm.version", "2").option("compression", "zstd")
+        each = max(1, -(-records // n))
+        if filtered:  # sized for a file's keys; without their number it takes 1 MB
+            out = out.option("parquet.bloom.filter.enabled#k", "true").option("parquet.bloom.filter.expected.ndv#k", each)
+        out.option("maxRecordsPerFile", each if n > 1 else 0).parquet(folder)
+
+    def _write(self, rows: DataFrame, level: int, n: int, records: int, by: tuple[str, ...] = ()) -> list[dict]:
         """Sorted files with disjoint ranges in a new folder, none with rows of two values of `by`; one
-        manifest row each, read back from the files."""
+        manifest row each, read back from the files: once, without the values, for index, filter and manifest."""
         folder = f"{self.path}/data/{uuid.uuid4().hex}"
-        cut = rows.select("k", "seq", "v", "ts", *by).repartitionByRange(n, "k").sortWithinPartitions(*by, "k")
-        cut.write.partitionBy(*by).option("compression", "zstd").option("parquet.bloom.filter.enabled#k", "true").parquet(folder)
-        back = self.spark.read.schema("k string, seq long, v string, ts timestamp").parquet(folder)
-        z = F.octet_length("k") + F.octet_length("v") + 4
-        self._write_index(back, folder, level)
+        self._sorted(rows.select("k", "seq", "v", "ts", *by), folder, n, records, by)
+        back = runs.with_size(self.spark.read.schema("k string, seq long, v string, ts timestamp").parquet(folder))
         blob = F.when(F.startswith(F.col("v"), F.lit(POINTER)), F.split_part("v", F.lit(":"), F.lit(1)).substr(len(POINTER) + 1, 32))
-        meta = back.groupBy(F.input_file_name().alias("file_id")).agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum(z).alias("bytes"), F.max("seq").alias("newest"), F.array_sort(F.collect_set(blob)).alias("blobs"))
-        return [r.asDict() | {"level": level} for r in meta.collect()]  # one row a file
-
-    def _write_index(self, back: DataFrame, folder: str, level: int) -> None:
+        back = back.select(F.input_file_name().alias("file_id"), "k", "seq", "z", blob.alias("blob")).persist(StorageLevel.DISK_ONLY)
+        try:
+            self._write_index(back.select("file_id", "k", "z"), folder, level)
+            meta = back.groupBy("file_id").agg(F.min("k").alias("mn"), F.max("k").alias("mx"), F.count("*").alias("n"), F.sum("z").alias("bytes"), F.max("seq").alias("newest"), F.array_sort(F.collect_set("blob")).alias("blobs"))
+            return [r.asDict() | {"level": level} for r in meta.collect()]  # one row a file
+        finally:
+            back.unpersist()
+
+    def _write_index(self, rows: DataFrame, folder: str, level: int) -> None:
         """Beside a folder of files, for each its block index and its filter, which reads look at first."""
-        rows = runs.with_size(back.withColumn("file_id", F.input_file_name()).select("file_id", "k", "v"))
         blocks = runs.with_blocks(rows, ["file_id"], self.options)
         runs.block_index(blocks, ["file_id"]).write.parquet(f"{folder}-index")
         filters = pruning.compacted_blooms if level and self.options.file_bytes <= SMALL_FILE else pruning.run_blooms
@@ -92,11 +108,10 @@ class Store:
             large |= F.octet_length("v") >= self.options.separate_from
         return large & (F.col("v") != TOMBSTONE)
 
-    def _separated(self, rows: DataFrame, n: int) -> DataFrame:
+    def _separated(self, rows: DataFrame, n: int, records: int) -> DataFrame:
         """rows with pointers for their large values, which go to n files of a new folder of blobs."""
         name = uuid.uuid4().hex
-        held = rows.where(self._is_large()).select("k", "seq", "v").repartitionByRange(n, "k").sortWithinPartitions("k")
-        held.write.option("compression", "zstd").parquet(f"{self.path}/blobs/{name}")
+        self._sorted(rows.where(self._is_large()).select("k", "seq", "v"), f"{self.path}/blobs/{name}", n, records, filtered=False)
         pointer = F.concat_ws(":", F.lit(POINTER + name), F.col("seq").cast("string"), F.octet_length("v").cast("string"))
         return rows.withColumn("v", F.when(self._is_large(), pointer).otherwise(F.col("v")))
 
@@ -107,13 +122,13 @@ class Store:
         now = self.load()
         log = checked(log.select(*LOG.fieldNames())).where(F.col("seq") > now["seq"])
         large = F.when(self._is_large(), F.octet_length("v"))
-        last = log.agg(F.max("seq"), F.sum(F.octet_length("k") + F.octet_length("v")), F.sum(large)).first()
+        last = log.agg(F.max("seq"), F.sum(F.octet_length("k") + F.octet_length("v")), F.sum(large), F.count("*"), F.count(large)).first()
         if last[0] is None:
             return now["version"]
         best = log.groupBy("k").agg(F.max(F.struct("seq", "v", "ts")).alias("n")).select("k", "n.*")
         if last[2]:
-            best = self._separated(best, -(-last[2] // self.options.file_bytes))
-        files = self._write(best, 0, max(1, -(-(last[1] - (last[2] or 0)) // self.options.memtable_bytes)))
+            best = self._separated(best, -(-last[2] // self.options.file_bytes), last[4])
+        files = self._write(best, 0, max(1, -(-(last[1] - (last[2] or 0)) // self.options.memtable_bytes)), last[3])
         return self.publish(now["files"] + files, last[0], now["version"])
 
     def compact(self) -> int:
@@ -143,7 +158,7 @@ class Store:
                 out = rows.groupBy("k").agg(F.max(F.struct("seq", "v", "ts")).alias("n"), F.min("part").alias("part")).select("k", "n.*", "part")
                 out = out if deeper else out.where(F.col("v") != TOMBSTONE)
                 n = max(1, -(-sum(f["bytes"] for f in inputs) // self.options.file_bytes))
-                written = self._write(out, level + 1, n, ("part",))
+                written = self._write(out, level + 1, n, sum(f["n"] for f in inputs), ("part",))
             self.publish(rest + written, now["seq"], now["version"])
 
     # reads
